@@ -12,31 +12,8 @@ from ..functions import matrices
 from ..operators import annotate, evalue, mass, precursor, studies
 from ..operators.fuzzy import fuzzy_join
 from ..sources import readers
-from .fixtures import load, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The derived tables of one folder."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
+from . import analytics  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES, Tables, query
 
 FAM = "regexp_replace(regexp_replace({0}, '\\*.*$', ''), '/DV.*$', '')"
 NEAR = "length({a}) = length({b}) and hamming({a}, {b}) <= {k}"
