@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices
-from ..operators import analytics, studies
+from ..operators import analytics, germline, studies
+from ..operators.fuzzy import fuzzy_join
 from .registry import query
 
 FAM = "regexp_replace(regexp_replace(v, '\\*.*$', ''), '/DV.*$', '')"
@@ -167,3 +168,28 @@ def density(t):
     i = F.col("rec_id")
     hits = t.rec.select((i % 97).alias("q"), "epitope", (i % 2 == 0).alias("same_v"), (i * 37 % 101).alias("score"), (F.col("vdjdb_score") / 3).alias("expected"))
     return studies.density(hits).withColumn("density", F.round("density", 6))
+
+
+# ---- germline tables
+
+_RETAIN = "select distinct gene as chain, case when rec_id % 2 = 0 then 'V' else 'J' end as segment, case when rec_id % 2 = 0 then v else j end as gene, cast(floor(rec_id / 2) % 4 as int) as \"offset\", cast(9 - floor(rec_id / 2) % 4 as double) / 10 as p from rec where rec_id % 5 <> 0"
+_FAMILY = "regexp_replace({0}, '\\*.*$', '')"
+
+
+@query(f"with t as ({_RETAIN}), x as (select rec_id, gene, {_FAMILY.format('v')} as v, j, length(cdr3) as n from rec), f as (select chain, segment, {_FAMILY.format('gene')} as fam, list(p order by \"offset\") as prof from t group by all), z as (select rec_id, n, a.prof as pv, b.prof as pj from x left join f a on a.chain = x.gene and a.segment = 'V' and a.fam = x.v left join f b on b.chain = x.gene and b.segment = 'J' and b.fam = x.j) select rec_id, round(list_sum(list_transform(range(0, n), lambda i: (i + 1) * (1 - greatest(coalesce(pv[i + 1], 0), coalesce(pj[n - i], 0))))), 6) as weighted from z")
+def position_weights(t):
+    profiles = germline.retention_profiles(_sql(t, _RETAIN.replace('"', "`")))
+    w = germline.position_weights(t.rec, profiles)
+    total = F.aggregate(F.transform("weights", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return w.select("rec_id", F.round(total, 6).alias("weighted"))
+
+
+_REGIONS = "select concat('TRBV', cast(k as string)) as v, cast(k % 2 as string) as fwr1, cast(k % 3 as string) as cdr1, cast(k % 4 as string) as fwr2, cast(k % 5 as string) as cdr2, cast(floor(k / 4) as string) as fwr3 from (select distinct rec_id % 6 as k from rec) x"
+
+
+@query(f"with o as (select gene, cdr3, min(epitope) as epitope, min({FAM}) as v from rec group by all), g as ({_REGIONS}), h as (select a.v as v1, b.v as v2, a.epitope = b.epitope as same from o a join o b on a.gene = b.gene and a.cdr3 <> b.cdr3 and length(a.cdr3) = length(b.cdr3) and hamming(a.cdr3, b.cdr3) <= 2 and a.v <> b.v), u as ({' union all '.join(f"select '{r}' as region, x.{r} = y.{r} as identical, same from h join g x on x.v = v1 join g y on y.v = v2" for r in germline.REGIONS)}) select region, identical, count(*) as n, count(*) filter (same) as same from u group by all")
+def region_identity(t):
+    one = analytics.one_per_sequence(t.rec)
+    side = lambda x, n: one.select("gene", F.col("cdr3").alias(x), F.col("v").alias(f"v{n}"), F.col("epitope").alias(f"e{n}"))
+    near = fuzzy_join(one, one, "2", ["gene"]).where("cost > 0").join(side("a", 1), ["gene", "a"]).join(side("b", 2), ["gene", "b"])
+    return germline.region_identity(near.where("v1 <> v2").withColumn("same", F.expr("e1 = e2")), _sql(t, _REGIONS))
