@@ -24,17 +24,23 @@ _DIGIT = _cls(x for x in _PLAIN if _KIND[x] == "N")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^{re.escape(_SPACE)}{_LETTER}{_DIGIT}]+")
 _ODD = re.compile("[^\\x00-\\u012f\\u0131-\\u017f]")
 
+# The vocabulary spells bytes as characters: those outside these ranges as code points from 256 on (fixed values).
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
+
 
 def _plain(text: str) -> bool:
-    """Whether this module splits ``text`` as the vocabulary file does."""
+    """Whether this module splits ``text`` as the vocabulary file does.
+
+    Every plain character is its own composed form and none combines, so plain texts are normalised already.
+    """
     if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
         return False
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        if _ODD.search(text):
-            return False
-    return unicodedata.is_normalized("NFC", text)
+        return not _ODD.search(text)
+    return True
 
 
 def word_vocabulary() -> str:
@@ -48,7 +54,7 @@ class WordCodec:
     """Little-endian 16-bit ids of a text under a lower-casing word vocabulary.
 
     Texts split into words before any merge, so a word's ids never depend on its
-    neighbours. Words are encoded once and kept, up to ``most`` words; then the memory
+    neighbours. Words are encoded once, by the library's merge model alone, and kept, up to ``most`` words; then the memory
     starts anew. Texts with characters outside the plain range, and those that hold a
     special token's opening, go to the tokenizers library whole.
     """
@@ -60,6 +66,7 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.merge = self.tokenizer.model.tokenize
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
 
@@ -77,7 +84,8 @@ class WordCodec:
         known, ids = self.known, []
         for w in _SPLIT.findall(chunk):
             if (got := known.get(w)) is None:
-                got = self._whole(w)
+                spelt = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_SPELT)
+                got = np.asarray([t.id for t in self.merge(spelt)], "<u2").tobytes()
                 if len(w) <= 64:
                     known[w] = got
             ids.append(got)
