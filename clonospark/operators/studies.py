@@ -128,8 +128,8 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", keep: t
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
-    """ROC-AUC (ties count half), PR-AUC (trapezoids) plain and at equal classes, best F1 at equal classes."""
-    c = roc_curve(df, score, label, keep)
+    """ROC-AUC (ties count half), PR-AUC (trapezoids) plain and at equal classes, best F1 at equal classes. Groups that lack a class have no row."""
+    c = roc_curve(df, score, label, keep).where("P > 0 and N > 0")
     w = Window.partitionBy(*keep).orderBy(F.desc(score))
     tpr, fpr = F.col("TP") / F.col("P"), F.col("FP") / F.col("N")
     c = c.withColumns({"r": tpr, "f": fpr, "pr": F.col("TP") / (F.col("TP") + F.col("FP")), "pb": tpr / (tpr + fpr)})
