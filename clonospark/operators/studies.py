@@ -143,7 +143,7 @@ def confusion(df: DataFrame, threshold: float, score: str = "score", label: str
     hit, yes = F.col(score) >= threshold, F.col(label).cast("boolean")
     n = lambda c: F.count_if(c)
     out = df.agg(n(hit & yes).alias("tp"), n(hit & ~yes).alias("fp"), n(~hit & yes).alias("fn"), n(~hit & ~yes).alias("tn"))
-    return out.withColumn("f1", 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    return out.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
 def average_rank(df: DataFrame, score: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +156,7 @@ def average_rank(df: DataFrame, score: str, keep: tuple[str, ...] = ()) -> DataF
 
 def recall_at_fpr(df: DataFrame, most: float, score: str = "score", label: str = "label") -> DataFrame:
     """Largest recall among thresholds whose false positive rate is within the budget; a tie is taken whole or not at all."""
-    return roc_curve(df, score, label).agg(F.coalesce(F.max(F.when(F.col("FP") / F.col("N") <= most, F.col("TP") / F.col("P"))), F.lit(0.0)).alias("recall"))
+    return roc_curve(df, score, label).agg(F.coalesce(F.max(F.when(F.try_divide("FP", "N") <= most, F.try_divide("TP", "P"))), F.lit(0.0)).alias("recall"))
 
 
 def recall_calibrated(df: DataFrame, recall: float = 0.5, score: str = "score", label: str = "label") -> DataFrame:

@@ -50,6 +50,10 @@ def test_lone_epitope_and_empty_table(spark):
 def test_auc_needs_both_classes(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", 0.0, 0), ("b", 1.0, 1)], "k string, score double, label int")
     assert [(r.k, r.roc_auc) for r in studies.auc(df, keep=("k",)).collect()] == [("a", 1.0)]
+    none = df.limit(0)
+    assert studies.confusion(none, 0.5).first().f1 is None
+    assert studies.recall_at_fpr(none, 0.1).first().recall == 0.0
+    assert studies.recall_at_fpr(df.where("k = 'b'"), 0.1).first().recall == 0.0
 
 
 def test_rarefaction_equals_a_loop(spark):
