@@ -308,6 +308,28 @@ def test_near_dedup_stage_keeps_the_least(spark, docs):
     assert sum(r.doc_id is None for r in rows) == 1
 
 
+def test_near_dedup_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    line = text(12)
+    bases = [text(n) for n in (60, 200, 900)] + [line + " " + text(20) for _ in range(30)] + [line, "one two", "one two three"]
+    rows = [*bases]
+    for b in bases[:3]:
+        w = b.split()
+        rows += [" ".join("edited" if i == k else x for i, x in enumerate(w)) for k in range(7, len(w), len(w) // 6)] + [" ".join(w[k:]) for k in (2, 5, 9, 14)] + [b + " " + text(len(w) // 5)]
+    rows = random.sample(rows, len(rows))
+
+    def similar(a, b):
+        return len(a & b) * 5 >= 4 * len(a | b)
+
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, rows)]
+    pairs = [len(a & b) / len(a | b) for i, a in enumerate(runs) for b in runs[:i] if a != b and similar(a, b)]
+    assert min(pairs) < 0.85 and max(pairs) > 0.97
+    want = brute_components(list(enumerate(runs)), similar)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(want.values()))
+
+
 def test_character_references():
     root = html_text.parse("<p>&lt;b&gt; &eacute; &#233; &nbsp;x</p>")
     html_text.digest(root)
