@@ -7,29 +7,36 @@ from pyspark.sql import functions as F
 
 from .shared import fixed
 
-#: Placeholders (private-use characters): name, number, unit; and the joint inside a number.
-NAME, NUMBER, UNIT, JOINT = "", "", "", ""
+#: Placeholders (private-use characters): name, number, unit; the joint inside a number; and the mark of other capitalised words.
+NAME, NUMBER, UNIT, JOINT, CAP = "", "", "", "", ""
 
 #: Units that may follow a number (fixed list).
 UNITS = "mm cm dm m km mg g kg t ml cl l s ms h min hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds dollar dollars euro euros cent cents percent degrees apples meter meters metre metres kilometers kilograms grams liters litres".split()
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _raws, _words): tokens in their own spelling and the template's, one for one.
+    """(_id, _raws, _words, _words2): tokens in their own spelling and those of two templates, one for one.
 
     A token is a run of letters, marks and digits; a point or comma between digits belongs
     to the number. A name is a capitalised word after a lower-case letter, digit, comma or
-    semicolon and a space, so the start of a sentence isn't one; its raw token starts with a mark.
-    The template has placeholders for names, numbers and units and is in lower case otherwise.
+    semicolon and white space, so the start of a sentence isn't one; in the second template every capitalised word is.
+    Templates have placeholders for names, numbers and units and are in lower case otherwise.
     """
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), NAME + NUMBER + UNIT + JOINT, "    ")
-    df = df.select(F.col(key).alias("_id"), fixed(F.regexp_replace(t, r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}(?=[\p{L}\p{M}])", NAME + "$0")).alias("_t"))
+    t = F.translate(F.coalesce(F.col(text), F.lit("")), NAME + NUMBER + UNIT + JOINT + CAP, "     ")
+    marked = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})(?=[\p{L}\p{M}])", CAP + "$0")
+    df = df.select(F.col(key).alias("_id"), fixed(F.regexp_replace(marked, rf"{CAP}(?<=[\p{{Ll}}\p{{Nd}},;]\s{{1,4}}{CAP})", NAME)).alias("_t"))
     joined = F.when(F.col("_t").rlike(r"\d[.,]\d"), F.regexp_replace("_t", r"(?<=\d)[.,](?=\d)", JOINT)).otherwise(F.col("_t"))
-    df = df.select("_id", fixed(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{JOINT}]+", " "))).alias("_t"))
+    df = df.select("_id", fixed(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{CAP}{JOINT}]+", " "))).alias("_t"))
     unnamed = F.when(F.contains("_t", F.lit(NAME)), F.regexp_replace("_t", f"{NAME}[^ ]+", NAME)).otherwise(F.col("_t"))
-    df = df.select("_id", fixed(F.split("_t", " ")).alias("_raws"), fixed(F.lower(unnamed)).alias("_t"))
-    numbered = F.regexp_replace(F.regexp_replace("_t", r"(?<![^ ])\p{N}[^ ]*", NUMBER), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
-    return df.select("_id", "_raws", fixed(F.split(F.when(F.col("_t").rlike(r"\p{N}"), numbered).otherwise(F.col("_t")), " ")).alias("_words"))
+    raws = F.split(F.translate("_t", NAME + CAP, ""), " ")
+    df = df.select("_id", fixed(raws).alias("_raws"), fixed(unnamed).alias("_t"))
+    df = df.select("_id", "_raws", fixed(F.lower(F.translate("_t", CAP, ""))).alias("_t"), fixed(F.lower(F.regexp_replace("_t", f"{CAP}[^ ]+", NAME))).alias("_t2"))
+
+    def words(t: str) -> Column:
+        numbered = F.regexp_replace(F.regexp_replace(t, r"(?<![^ ])\p{N}[^ ]*", NUMBER), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
+        return fixed(F.split(F.when(F.col(t).rlike(r"\p{N}"), numbered).otherwise(F.col(t)), " "))
+
+    return df.select("_id", "_raws", words("_t").alias("_words"), words("_t2").alias("_words2"))
 
 
 def _windows(words: Column, width: int) -> Column:
@@ -39,8 +46,9 @@ def _windows(words: Column, width: int) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int = 5, run: int = 6, key: str = "doc_id", item: str = "item_id", text: str = "text", most: int = 200_000) -> DataFrame:
     """(key, item, n_windows, first_token) for every document that holds a benchmark item's template.
 
-    Numbers, names and units become typed placeholders. Windows of ``width`` template
-    tokens with at least ``least`` words that aren't placeholders are hash-joined; an item of ``least`` to
+    Numbers, names and units become typed placeholders, in a second template also every capitalised word, which may
+    be a name that opens a sentence, line or quote; windows of the two are counted apart. Windows of ``width`` template
+    tokens with at least ``least`` words that aren't placeholders in the first are hash-joined; an item of ``least`` to
     ``width - 1`` tokens is one window. Hits of one document and item with the same
     distance between their places belong together; there, each value in the item's slots must
     stand for one value in the document's. An item is held if ``run`` of its windows (of shorter
@@ -56,12 +64,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int =
     rows = words.select(
         F.col("_id").alias(item),
         size.alias("width"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - size + 1), lambda i: F.struct((i - 1).alias("at"), F.slice("_words", i, size).alias("w"), F.slice("_raws", i, size).alias("own")))).alias("x"),
-        F.size("_words").alias("n"),
-    ).select(item, "width", "n", "x.at", "x.w", "x.own")
-    rows = rows.where(F.size(F.filter("w", plain)) >= least).withColumn("h", F.xxhash64("w"))
-    need = F.count("*").over(Window.partitionBy(item)).cast("int")
-    table = rows.withColumn("need", F.least(F.lit(run), F.greatest(F.lit(1), need - 1))).drop("n")
+        F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - size + 1), lambda i: F.struct((i - 1).alias("at"), *[F.slice(c, i, size).alias(n) for c, n in (("_words", "w1"), ("_words2", "w2"), ("_raws", "own"))]))).alias("x"),
+    ).select(item, "width", "x.at", "x.w1", "x.w2", "x.own")
+    rows = rows.where(F.size(F.filter("w1", plain)) >= least)
+    rows = rows.select(item, "width", "at", "own", F.posexplode(F.array("w1", "w2")).alias("template", "w")).withColumn("h", F.xxhash64("w"))
+    need = F.count("*").over(Window.partitionBy(item, "template")).cast("int")
+    table = rows.withColumn("need", F.least(F.lit(run), F.greatest(F.lit(1), need - 1)))
     sizes = {r[0]: r[1] for r in table.groupBy("width").count().collect()}
     blocks = max(1, -(-sum(sizes.values()) // most))
     doc_words = _tokens(docs, key, text)
@@ -70,17 +78,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int =
     for block in range(blocks):
         for w in sizes or {width: 0}:
             side = table.where((F.col("width") == w) & (F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
+            both = F.arrays_zip(*[fixed(_windows(F.col(c), w)).alias(n) for c, n in (("_words", "h1"), ("_words2", "h2"))])
             hits = (
-                doc_words.select("_id", "_raws", fixed(_windows(F.col("_words"), w)).alias("_h"))
-                .select("_id", "_raws", F.posexplode("_h").alias("_at", "h"))
-                .join(F.broadcast(side), "h")
-                .select("_id", item, "at", "need", "_at", "w", "own", F.slice("_raws", F.col("_at") + 1, w).alias("_own"))
+                doc_words.select("_id", "_raws", F.posexplode(both).alias("_at", "x"))
+                .select("_id", "_raws", "_at", F.posexplode(F.array("x.h1", "x.h2")).alias("template", "h"))
+                .join(F.broadcast(side), ["h", "template"])
+                .select("_id", item, "template", "at", "need", "_at", "w", "own", F.slice("_raws", F.col("_at") + 1, w).alias("_own"))
             )
             found = hits if found is None else found.unionByName(hits)
     slots = F.filter(F.arrays_zip("w", "own", "_own"), lambda x: ~plain(x["w"]))
     pairs = F.transform(slots, lambda x: F.struct(x["own"].alias("a"), x["_own"].alias("b")))
-    one = found.withColumn("shift", F.col("_at") - F.col("at")).withColumn("pairs", pairs).dropDuplicates(["_id", item, "shift", "at"])
-    runs = one.groupBy("_id", item, "shift", "need").agg(F.count("*").alias("n_windows"), F.min("_at").alias("first_token"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    one = found.withColumn("shift", F.col("_at") - F.col("at")).withColumn("pairs", pairs).dropDuplicates(["_id", item, "template", "shift", "at"])
+    runs = one.groupBy("_id", item, "template", "shift", "need").agg(F.count("*").alias("n_windows"), F.min("_at").alias("first_token"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     held = runs.where((F.col("n_windows") >= F.col("need")) & consistent)
     return held.groupBy(F.col("_id").alias(key), item).agg(F.max("n_windows").cast("long").alias("n_windows"), F.min("first_token").cast("long").alias("first_token"))

@@ -185,6 +185,22 @@ def test_decontamination(spark, docs, empty):
     assert left.count() == both.count() - sum(d in {x for x, _ in got} for d in [*range(len(TEXTS)), 3, *(x for x, _ in more)])
 
 
+WORDY = "Tom has 3 apples. Tom buys 4 more apples. Tom eats 2 apples. How many apples does Tom have?"
+
+
+def test_decontamination_of_names_that_open_sentences(spark):
+    bench = spark.createDataFrame([(1, WORDY)], "item_id long, text string")
+    texts = [
+        WORDY,
+        "x. Anna has 5 apples. Anna buys 6 more apples. Anna eats 7 apples. How many apples does Anna have? y",
+        'x\nAnna has 5 apples.\nAnna buys 6 more apples. "Anna eats 7 apples. How many apples does\nAnna have? y',
+        "x. Anna has 5 apples. Bob buys 6 more apples. Anna eats 7 apples. How many apples does Anna have? y",
+        "x. Anna has 5 apples. Anna sells 6 more pears. Anna eats 7 apples. y",
+    ]
+    held = decontam.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_windows) for r in held} == {(0, 1, 12), (1, 1, 12), (2, 1, 12)}
+
+
 def test_quality(docs, empty):
     for r in quality.judge(docs).collect():
         if r.doc_id is None:
