@@ -52,25 +52,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int =
     ``width - 1`` tokens is one window. Hits of one document and item with the same
     distance between their places belong together; there, each value in the item's slots must
     stand for one value in the document's. An item is held if ``run`` of its windows (of shorter
-    items: all but one, one at least) are hit consistently. Items of fewer than ``least`` tokens are too unspecific and are not searched.
+    items: all but one, one at least) are hit consistently. Windows with fewer plain words
+    are hit by their own spelling only; an item that has any is also searched by all its windows so. Items of fewer than ``least`` tokens
+    are too unspecific and are not searched. Equal rows of the benchmark count once, other texts of the same item apart.
 
     Window tables of the benchmark are joined in blocks of at most ``most`` rows, the proven bound of what
     is broadcast; documents are scanned once per block and not shuffled before the join. Null texts hold nothing; null keys are
     kept as such; repeated rows count once; an empty table of either kind gives no rows; other columns are ignored.
     """
-    words = _tokens(benchmark.where(F.col(text).isNotNull()), item, text).where(F.size("_words") >= least)
+    words = _tokens(benchmark.where(F.col(text).isNotNull()), item, text).where(F.size("_words") >= least).dropDuplicates(["_id", "_raws"]).withColumn("_v", F.xxhash64("_raws"))
     plain = lambda w: ~w.isin(NAME, NUMBER, UNIT)
     size = F.least(F.lit(width), F.size("_words"))
     rows = words.select(
         F.col("_id").alias(item),
+        "_v",
         size.alias("width"),
         F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - size + 1), lambda i: F.struct((i - 1).alias("at"), *[F.slice(c, i, size).alias(n) for c, n in (("_words", "w1"), ("_words2", "w2"), ("_raws", "own"))]))).alias("x"),
-    ).select(item, "width", "x.at", "x.w1", "x.w2", "x.own")
-    rows = rows.where(F.size(F.filter("w1", plain)) >= least)
-    rows = rows.select(item, "width", "at", "own", F.posexplode(F.array("w1", "w2")).alias("template", "w")).withColumn("h", F.xxhash64("w"))
-    need = F.count("*").over(Window.partitionBy(item, "template")).cast("int")
+    ).select(item, "_v", "width", "x.at", "x.w1", "x.w2", "x.own")
+    rows = rows.withColumn("dense", F.size(F.filter("w1", plain)) < least).withColumn("any_dense", F.max("dense").over(Window.partitionBy(item, "_v")))
+    forms = F.filter(F.array(*[F.struct(F.lit(k).alias("template"), F.col(c).alias("w"), use.alias("use")) for k, (c, use) in enumerate((("w1", ~F.col("dense")), ("w2", ~F.col("dense")), ("own", F.col("any_dense"))))]), lambda x: x["use"])
+    rows = rows.select(item, "_v", "width", "at", "own", F.explode(forms).alias("x")).select(item, "_v", "width", "at", "own", "x.template", "x.w").withColumn("h", F.xxhash64("w"))
+    need = F.count("*").over(Window.partitionBy(item, "_v", "template")).cast("int")
     table = rows.withColumn("need", F.least(F.lit(run), F.greatest(F.lit(1), need - 1)))
-    sizes = {r[0]: r[1] for r in table.groupBy("width").count().collect()}
+    counts = table.groupBy("width", "template").count().collect()
+    sizes = {w: sum(r["count"] for r in counts if r["width"] == w) for w in sorted({r["width"] for r in counts})}
     blocks = max(1, -(-sum(sizes.values()) // most))
     doc_words = _tokens(docs, key, text)
 
@@ -78,18 +83,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int =
     for block in range(blocks):
         for w in sizes or {width: 0}:
             side = table.where((F.col("width") == w) & (F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
-            both = F.arrays_zip(*[fixed(_windows(F.col(c), w)).alias(n) for c, n in (("_words", "h1"), ("_words2", "h2"))])
+            used = sorted({r["template"] for r in counts if r["width"] == w}) or [0]
+            both = F.arrays_zip(*[fixed(_windows(F.col(("_words", "_words2", "_raws")[k]), w)).alias(f"h{k}") for k in used])
             hits = (
                 doc_words.select("_id", "_raws", F.posexplode(both).alias("_at", "x"))
-                .select("_id", "_raws", "_at", F.posexplode(F.array("x.h1", "x.h2")).alias("template", "h"))
+                .select("_id", "_raws", "_at", F.explode(F.array(*[F.struct(F.lit(k).alias("template"), F.col(f"x.h{k}").alias("h")) for k in used])).alias("x"))
+                .select("_id", "_raws", "_at", "x.*")
                 .join(F.broadcast(side), ["h", "template"])
-                .select("_id", item, "template", "at", "need", "_at", "w", "own", F.slice("_raws", F.col("_at") + 1, w).alias("_own"))
+                .select("_id", item, "_v", "template", "at", "need", "_at", "w", "own", F.slice("_raws", F.col("_at") + 1, w).alias("_own"))
             )
             found = hits if found is None else found.unionByName(hits)
     slots = F.filter(F.arrays_zip("w", "own", "_own"), lambda x: ~plain(x["w"]))
     pairs = F.transform(slots, lambda x: F.struct(x["own"].alias("a"), x["_own"].alias("b")))
-    one = found.withColumn("shift", F.col("_at") - F.col("at")).withColumn("pairs", pairs).dropDuplicates(["_id", item, "template", "shift", "at"])
-    runs = one.groupBy("_id", item, "template", "shift", "need").agg(F.count("*").alias("n_windows"), F.min("_at").alias("first_token"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    one = found.withColumn("shift", F.col("_at") - F.col("at")).withColumn("pairs", pairs).dropDuplicates(["_id", item, "_v", "template", "shift", "at"])
+    runs = one.groupBy("_id", item, "_v", "template", "shift", "need").agg(F.count("*").alias("n_windows"), F.min("_at").alias("first_token"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     held = runs.where((F.col("n_windows") >= F.col("need")) & consistent)
     return held.groupBy(F.col("_id").alias(key), item).agg(F.max("n_windows").cast("long").alias("n_windows"), F.min("first_token").cast("long").alias("first_token"))

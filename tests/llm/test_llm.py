@@ -201,6 +201,15 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert {(r.doc_id, r.item_id, r.n_windows) for r in held} == {(0, 1, 12), (1, 1, 12), (2, 1, 12)}
 
 
+def test_decontamination_of_dense_and_repeated_items(spark):
+    items = [(1, "Compute 12 times 7 plus 9 minus 4."), (2, "Tom 3 Bob 4 Eve 5 km Ann 6 Joe 7 and Sam 8 Lee 9 Kim"), (3, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, "alpha beta gamma delta epsilon zeta eta theta iota")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["z: Compute 12 times 7 plus 9 minus 4. z", "z: Compute 12 times 7 plus 9 minus 5. z", f"q {items[1][1]} q", "q Tom 3 Bob 4 Eve 5 km Ann 6 Joe 8 and Sam 9 Max 1 Kim q", f"so {items[2][1]} on"]
+    held = decontam.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.item_id) for r in held.collect()} == {(0, 1), (2, 2), (4, 3)}
+    assert held.count() == decontam.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench, most=3).count()
+
+
 def test_quality(docs, empty):
     for r in quality.judge(docs).collect():
         if r.doc_id is None:
