@@ -419,7 +419,7 @@ def unseen_ht(t):
 
 @query()
 def precursor_report(t):
-    return precursor.report(t.rec.where("gene = 'TRB' and rec_id < 400"), _model(t), 1)
+    return precursor.report(t.rec.where("gene = 'TRB'"), _model(t), 1)
 
 
 # ---- composition, substitution, scores

@@ -154,3 +154,19 @@ def test_stream(spark, tmp_path):
     q = annotate_stream(src, rec, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_precursor_report_takes_all_records(spark, tmp_path):
+    from clonospark.plans.fixtures import load
+    from clonospark.plans.queries import QUERIES
+
+    spark.createDataFrame([(i, i % 50) for i in range(300, 700)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i,) for i in range(200)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = [r for r in load(spark, str(tmp_path), "rec").collect() if r.gene == "TRB"]
+    want = {}
+    for e in {r.epitope for r in rows}:
+        own = {r.cdr3 for r in rows if r.epitope == e}
+        members = {s[:i] + a + s[i + 1 :] for s in own for i in range(len(s)) for a in "ACDEFGHIKLMNPQRSTVWY"}
+        want[e] = (sum(r.epitope == e for r in rows), len(own), len(members))
+    got = QUERIES["precursor_report"](spark, str(tmp_path)).collect()
+    assert {r.epitope: (r.n_rows, r.n_junctions, r.n_members) for r in got} == want
