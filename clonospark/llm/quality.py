@@ -46,7 +46,7 @@ RULES = (
     Rule("symbols to words", "n_symbols", "n_words", None, 100),
     Rule("shouting to words", "n_shouts", "n_words", None, 100),
     Rule("stop words to words", "n_stop_words", "n_words", 20, None),
-    Rule("repeated lines", "n_dup_lines", "n_lines", None, 300),
+    Rule("repeated lines", "n_dup_lines", "n_lines", None, 400),
 )
 
 
@@ -54,15 +54,16 @@ def _unread(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """``docs`` with every measure appended, by built-in functions in the scan's own stage.
+def _set_aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns called in0, in1, ...: no column of the input can clash with a measure or a step."""
+    return docs.toDF(*(f"in{i}" for i in range(len(docs.columns))))
 
-    Words are runs of anything but ASCII white space. Repeats inside a text are found by
-    sorting (window hash, place) pairs of that text alone, and only of texts that have a repeat, so cost
-    stays near linear in a text's length and nothing is shuffled.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_words", fixed(F.array_remove(F.split(F.translate(t, WHITE, " " * len(WHITE)), " "), "")))
+
+def _measured(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """The columns of ``docs`` as in0, in1, ... and every measure."""
+    t = F.coalesce(F.col(f"in{docs.columns.index(text)}"), F.lit(""))
+    df = _set_aside(docs)
+    df = df.withColumn("_words", fixed(F.array_remove(F.split(F.translate(t, WHITE, " " * len(WHITE)), " "), "")))
     df = df.withColumn("_lines", fixed(F.filter(F.split(t, "\n"), lambda x: _unread(x, " " + WHITE) != "")))
     df = df.withColumn("_solid", fixed(_unread(t, " " + WHITE)))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
@@ -84,7 +85,7 @@ def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     df = df.withColumn("n_repeat_words", F.when(F.col("_places").isNull(), F.lit(0)).otherwise(covered).cast("long"))
     stops = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
     return df.select(
-        *docs.columns,
+        *(f"in{i}" for i in range(len(docs.columns))),
         "n_words",
         F.length("_solid").cast("long").alias("word_chars"),
         (F.length("_solid") - F.length(_unread(F.col("_solid"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -96,18 +97,44 @@ def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     )
 
 
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], text: str, least_words: int, most_repeat: int, window: int = 5) -> DataFrame:
+    df = _measured(docs, text, window)
+    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeat)
+    ok = F.lit(True)
+    for r in rules:
+        ok = ok & r.holds()
+    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ok)
+
+
+def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
+    """``docs`` with every measure appended, by built-in functions in the scan's own stage.
+
+    Words are runs of anything but ASCII white space. Repeats inside a text are found by
+    sorting (window hash, place) pairs of that text alone, and only of texts that have a repeat, so cost
+    stays near linear in a text's length and nothing is shuffled. A column named like a measure is replaced; no other is touched.
+    """
+    return _named(docs, _measured(docs, text, window))
+
+
+def _named(docs: DataFrame, df: DataFrame) -> DataFrame:
+    """The input's columns under their own names, except those that a measure replaces."""
+    n = len(docs.columns)
+    own = df.columns[n:]
+    return df.select(*(F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns) if c not in own), *own)
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", least_words: int = 10, most_repeat: int = 20) -> DataFrame:
     """``docs`` with measures, ``base_failed`` and ``kept``.
 
     Base: fewer than ``least_words`` words, or more than ``most_repeat`` percent of words in
     repeated windows. A row is kept if it passes the base and every rule of the table. A
     null or empty text has zero words and fails the base; repeated rows are judged alike;
-    an empty table gives no rows. Measure columns replace columns of the same name.
+    an empty table gives no rows. Measure columns replace columns of the same name; all others, whatever their names, stay as they are.
     """
-    names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words", "n_lines", "base_failed", "kept"}
-    df = measures(docs.drop(*(c for c in docs.columns if c in names)), text)
-    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeat)
-    ok = F.lit(True)
-    for r in rules:
-        ok = ok & r.holds()
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ok)
+    return _named(docs, _judged(docs, rules, text, least_words, most_repeat))
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", least_words: int = 10, most_repeat: int = 20) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, every column as it was, also those named like a measure."""
+    kept = _judged(docs, rules, text, least_words, most_repeat).where("kept")
+    return kept.select(*(F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)))
