@@ -7,99 +7,153 @@ from pyspark.sql import functions as F
 
 from .shared import fixed
 
-#: Placeholders (private-use characters): name, number, unit; the joint inside a number; and the mark of other capitalised words.
-NAME, NUMBER, UNIT, JOINT, CAP = "", "", "", "", ""
+#: Placeholders (private-use characters): name, number, unit; the joint inside a number; the marks of other capitalised
+#: words and of numbers spelt out; and the tie between the words of one value.
+NAME, NUMBER, UNIT, JOINT, CAP, SPELT, TIE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006"
 
 #: Units that may follow a number (fixed list).
-UNITS = "mm cm dm m km mg g kg t ml cl l s ms h min hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds dollar dollars euro euros cent cents percent degrees apples meter meters metre metres kilometers kilograms grams liters litres".split()
+UNITS = "mm cm dm m km mg g kg t ml cl l s ms h min hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds dollar dollars euro euros cent cents percent degrees meter meters metre metres kilometers kilograms grams liters litres".split()
+
+#: Numbers spelt out and their values (fixed values of the language): up to twenty, then tens, which a digit's word may follow.
+SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+VALUES = {w: i for i, w in enumerate(SMALL)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
+
+#: The three forms in which windows are hashed.
+NAMED, CAPPED, OWN = 0, 1, 2
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _raws, _words, _words2): tokens in their own spelling and those of two templates, one for one.
+    """(_id, _h, _u, _w0, _w1, _w2): a row's key and its text's hash, the marked tokens, and their three forms, all space-joined.
 
     A token is a run of letters, marks and digits; a point or comma between digits belongs
-    to the number. A name is a capitalised word after a lower-case letter, digit, comma or
-    semicolon and white space, so the start of a sentence isn't one; in the second template every capitalised word is.
-    Templates have placeholders for names, numbers and units and are in lower case otherwise.
+    to the number, and so does the digit's word after a ten's. A name is a capitalised word after a lower-case letter, digit, comma or
+    semicolon and white space, so the start of a sentence isn't one; in the second template every capitalised word is. Names in a row
+    are one. Templates have placeholders for names, numbers and units and are in lower case otherwise; the third form is the text's own words in lower case.
     """
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), NAME + NUMBER + UNIT + JOINT + CAP, "     ")
-    marked = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})(?=[\p{L}\p{M}])", CAP + "$0")
-    df = df.select(F.col(key).alias("_id"), fixed(F.regexp_replace(marked, rf"{CAP}(?<=[\p{{Ll}}\p{{Nd}},;]\s{{1,4}}{CAP})", NAME)).alias("_t"))
-    joined = F.when(F.col("_t").rlike(r"\d[.,]\d"), F.regexp_replace("_t", r"(?<=\d)[.,](?=\d)", JOINT)).otherwise(F.col("_t"))
-    df = df.select("_id", fixed(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{CAP}{JOINT}]+", " "))).alias("_t"))
-    unnamed = F.when(F.contains("_t", F.lit(NAME)), F.regexp_replace("_t", f"{NAME}[^ ]+", NAME)).otherwise(F.col("_t"))
-    raws = F.split(F.translate("_t", NAME + CAP, ""), " ")
-    df = df.select("_id", fixed(raws).alias("_raws"), fixed(unnamed).alias("_t"))
-    df = df.select("_id", "_raws", fixed(F.lower(F.translate("_t", CAP, ""))).alias("_t"), fixed(F.lower(F.regexp_replace("_t", f"{CAP}[^ ]+", NAME))).alias("_t2"))
-
-    def words(t: str) -> Column:
-        numbered = F.regexp_replace(F.regexp_replace(t, r"(?<![^ ])\p{N}[^ ]*", NUMBER), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
-        return fixed(F.split(F.when(F.col(t).rlike(r"\p{N}"), numbered).otherwise(F.col(t)), " "))
-
-    return df.select("_id", "_raws", words("_t").alias("_words"), words("_t2").alias("_words2"))
-
-
-def _windows(words: Column, width: int) -> Column:
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int = 5, run: int = 6, key: str = "doc_id", item: str = "item_id", text: str = "text", most: int = 200_000) -> DataFrame:
+    marks = NAME + NUMBER + UNIT + JOINT + CAP + SPELT + TIE
+    t = F.translate(F.coalesce(F.col(text), F.lit("")), marks, " " * len(marks))
+    capped = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})(?=[\p{L}\p{M}])", CAP + "$0")
+    df = df.select(F.col(key).alias("_id"), fixed(F.xxhash64(F.col(text))).alias("_h"), fixed(F.regexp_replace(capped, rf"{CAP}(?<=[\p{{Ll}}\p{{Nd}},;]\s{{1,4}}{CAP})", NAME)).alias("_u"))
+    joined = F.when(F.col("_u").rlike(r"\d[.,]\d"), F.regexp_replace("_u", r"(?<=\d)[.,](?=\d)", JOINT)).otherwise(F.col("_u"))
+    df = df.select("_id", "_h", fixed(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}{CAP}{JOINT}]+", " "))).alias("_u"))
+    spelt = F.regexp_replace("_u", rf"(?i)(?<![^ ])[{NAME}{CAP}]?({'|'.join([*SMALL, *TENS])})(?![^ ])", SPELT + "$1")
+    df = df.select("_id", "_h", fixed(spelt).alias("_u"))
+    tens = F.regexp_replace("_u", rf"(?i)({SPELT}(?:{'|'.join(TENS)})) {SPELT}(?=(?:{'|'.join(SMALL[1:10])})(?![^ ]))", f"$1{TIE}")
+    df = df.select("_id", "_h", fixed(F.when(F.contains("_u", F.lit(SPELT)), tens).otherwise(F.col("_u"))).alias("_u"))
+    numbered = F.regexp_replace(F.regexp_replace("_u", rf"(?<![^ ])[{SPELT}\p{{N}}][^ ]*", NUMBER), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
+    df = df.select("_id", "_h", "_u", fixed(F.when(F.col("_u").rlike(rf"[{SPELT}\p{{N}}]"), numbered).otherwise(F.col("_u"))).alias("_n"))
+    named = F.when(F.contains("_n", F.lit(NAME)), F.regexp_replace("_n", f"{NAME}[^ ]+(?: {NAME}[^ ]+)*", NAME)).otherwise(F.col("_n"))
+    all_named = F.regexp_replace("_n", f"[{NAME}{CAP}][^ ]+(?: [{NAME}{CAP}][^ ]+)*", NAME)
+    return df.select("_id", "_h", "_u", fixed(F.lower(F.translate(named, CAP, ""))).alias("_w0"), fixed(F.lower(all_named)).alias("_w1"), fixed(F.lower(F.translate("_u", NAME + CAP + SPELT, ""))).alias("_w2"))
+
+
+def _values(form: Column) -> Column:
+    """The marked tokens of ``_u``, one for one with a template's words: names in a row tied together."""
+    named = F.regexp_replace("_u", f"({NAME}[^ ]+) (?={NAME})", f"$1{TIE}")
+    all_named = F.regexp_replace("_u", f"([{NAME}{CAP}][^ ]+) (?=[{NAME}{CAP}])", f"$1{TIE}")
+    return F.split(F.when(form == NAMED, named).when(form == CAPPED, all_named).otherwise(F.col("_u")), " ")
+
+
+def _value(token: Column) -> Column:
+    """A slot's words without marks; a number spelt out in digits."""
+    words = F.split(F.translate(token, NAME + CAP + SPELT, ""), TIE)
+    table = F.create_map(*[F.lit(x) for kv in VALUES.items() for x in kv])
+    total = F.aggregate(words, F.lit(0), lambda a, x: a + table[F.lower(x)])
+    return F.when(F.startswith(token, F.lit(SPELT)), F.array(total.cast("string"))).otherwise(words)
+
+
+def _windows(words: str, form: int, width: int) -> Column:
+    """(form, _at, h) of every window."""
+    w = F.col(words)
+    one = lambda i: F.struct(F.lit(form).alias("form"), (i - 1).alias("_at"), F.xxhash64(F.lit(form), F.slice(w, i, width)).alias("h"))
+    return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), one)).otherwise(F.array().cast("array<struct<form:int,_at:int,h:bigint>>"))
+
+
+def _table(benchmark: DataFrame, item: str, text: str, width: int, least: int, run: int, short: int) -> DataFrame:
+    """(item, _v, form, at, width, h, w, raw, need): the windows by which items are searched."""
+    words = _tokens(benchmark.where(F.col(text).isNotNull()), item, text).dropDuplicates(["_id", "_h"])
+    words = words.select(F.col("_id").alias(item), F.xxhash64("_w2", "_u").alias("_v"), F.split("_w0", " ").alias("w0"), F.split("_w1", " ").alias("w1"), F.split("_w2", " ").alias("w2"), _values(F.lit(NAMED)).alias("r0"), _values(F.lit(CAPPED)).alias("r1"))
+    words = words.where(F.size("w2") >= short).dropDuplicates([item, "_v"])
+
+    def rows(form: int, raw: str) -> Column:
+        w, r = F.col(f"w{form}"), F.col(raw)
+        size = F.least(F.lit(width), F.size(w))
+        plain = lambda x, y: ~x.isin(NUMBER, UNIT) & ~F.startswith(y, F.lit(NAME))
+        dense = lambda i: F.size(F.filter(F.zip_with(F.slice(w, i, size), F.slice(r, i, size), plain), lambda x: x)) < least
+        one = lambda i: F.struct(F.lit(form).alias("form"), (i - 1).alias("at"), size.alias("width"), F.slice(w, i, size).alias("w"), F.slice(r, i, size).alias("raw"), (dense(i) if form != OWN else F.lit(False)).alias("dense"))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), one)
+
+    table = words.select(item, "_v", F.inline(F.concat(rows(NAMED, "r0"), rows(CAPPED, "r1"), rows(OWN, "w2"))))
+    any_dense = F.max(F.col("dense") & (F.col("form") == NAMED)).over(Window.partitionBy(item, "_v"))
+    table = table.withColumn("_literal", any_dense).where(F.when(F.col("form") == OWN, F.col("_literal")).otherwise(~F.col("dense")))
+    need = F.count("*").over(Window.partitionBy(item, "_v", "form")).cast("int")
+    return table.select(item, "_v", "form", "at", "width", "w", "raw", F.xxhash64("form", "w").alias("h"), F.least(F.lit(run), F.greatest(F.lit(1), need - 1)).alias("need"))
+
+
+def _mask(h: Column) -> Column:
+    """Four of 64 bits."""
+    g = F.xxhash64(h)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(g, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def _hits(docs: DataFrame, table: DataFrame, item: str, key: str, text: str, most: int, most_blocks: int) -> DataFrame:
+    """Windows of documents that are windows of items, each with the document's own tokens there; one scan for all widths and forms."""
+    shapes = sorted(map(tuple, table.groupBy("form", "width").count().collect()))
+    n = sum(s[2] for s in shapes)
+    words = _tokens(docs, key, text)
+    used = sorted({s[0] for s in shapes}) or [NAMED]
+    words = words.select("_id", "_h", "_u", *[fixed(F.split(f"_w{k}", " ")).alias(f"_s{k}") for k in used])
+    every = F.concat(*[_windows(f"_s{form}", form, width) for form, width, _ in shapes]) if shapes else _windows(f"_s{NAMED}", NAMED, 1)
+    found = words.select("_id", "_h", "_u", F.inline(every))
+    own = lambda form, width: F.when(form != OWN, F.slice(_values(form), F.col("_at") + 1, width))
+    side = table.withColumnRenamed("form", "_f")
+    if n <= most:
+        return found.join(F.broadcast(side), "h").select("_id", "_h", item, "_v", "form", "at", "_at", "need", "w", "raw", own(F.col("form"), F.col("width")).alias("_own"))
+    # a Bloom filter in blocks of 64 bits, joined by block: what passes is joined by shuffle, so the answer is exact
+    blocks = min(most_blocks, max(16, n // 4))
+    bits = table.select(F.pmod("h", F.lit(blocks)).alias("_b"), _mask(F.col("h")).alias("_m")).groupBy("_b").agg(F.bit_or("_m").alias("_bits"))
+    passed = found.withColumn("_b", F.pmod("h", F.lit(blocks))).join(F.broadcast(bits), "_b").where(F.col("_bits").bitwiseAND(_mask(F.col("h"))) == _mask(F.col("h")))
+    widest = max(s[1] for s in shapes)
+    slim = passed.select("_id", "_h", "form", "_at", "h", own(F.col("form"), F.lit(widest)).alias("_own"))
+    both = slim.join(side.hint("shuffle_hash"), "h")
+    return both.select("_id", "_h", item, "_v", "form", "at", "_at", "need", "w", "raw", F.slice("_own", F.lit(1), F.col("width")).alias("_own"))
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, width: int, least: int, run: int, short: int, key: str, item: str, text: str, most: int, most_blocks: int) -> DataFrame:
+    """(_id, _h, item, n_windows, first_token) of every text, by its row's key and its hash, that holds an item."""
+    found = _hits(docs, _table(benchmark, item, text, width, least, run, short), item, key, text, most, most_blocks)
+    slots = F.filter(F.arrays_zip("w", "raw", "_own"), lambda x: x["w"].isin(NAME, NUMBER, UNIT))
+    pairs = F.when(F.col("form") != OWN, F.transform(slots, lambda x: F.struct(_value(x["raw"]).alias("a"), _value(x["_own"]).alias("b")))).otherwise(F.array().cast("array<struct<a:array<string>,b:array<string>>>"))
+    hit = F.struct("at", "_at", pairs.alias("pairs"))
+    runs = found.groupBy("_id", "_h", item, "_v", "form", (F.col("_at") - F.col("at")).alias("_shift"), "need").agg(F.collect_set(hit).alias("hits"))
+    runs = runs.where(F.size("hits") >= F.col("need")).withColumn("_p", F.array_distinct(F.flatten(F.col("hits.pairs"))))
+    common = lambda a: F.aggregate(F.filter("_p", lambda x: x["a"] == a), F.lit(None).cast("array<string>"), lambda s, x: F.coalesce(F.array_intersect(s, x["b"]), x["b"]))
+    held = runs.where(F.forall(F.array_distinct(F.transform("_p", lambda x: x["a"])), lambda a: F.size(common(a)) > 0))
+    return held.groupBy("_id", "_h", item).agg(F.max(F.size("hits")).cast("long").alias("n_windows"), F.min(F.array_min("hits._at")).cast("long").alias("first_token"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 8, least: int = 5, run: int = 6, short: int = 3, key: str = "doc_id", item: str = "item_id", text: str = "text", most: int = 200_000, most_blocks: int = 1 << 20) -> DataFrame:
     """(key, item, n_windows, first_token) for every document that holds a benchmark item's template.
 
-    Numbers, names and units become typed placeholders, in a second template also every capitalised word, which may
+    Numbers (in digits or English words), names and units become typed placeholders, in a second template also every capitalised word, which may
     be a name that opens a sentence, line or quote; windows of the two are counted apart. Windows of ``width`` template
-    tokens with at least ``least`` words that aren't placeholders in the first are hash-joined; an item of ``least`` to
-    ``width - 1`` tokens is one window. Hits of one document and item with the same
-    distance between their places belong together; there, each value in the item's slots must
-    stand for one value in the document's. An item is held if ``run`` of its windows (of shorter
+    tokens with at least ``least`` words that aren't placeholders in the first are hash-joined; an item of fewer tokens
+    is one window. Hits of one text and item with the same
+    distance between their places belong together; there, the values that stand for one value of the
+    item must have a word in common ("Ann" and "Ann Lee" do). An item is held if ``run`` of its windows (of shorter
     items: all but one, one at least) are hit consistently. Windows with fewer plain words
-    are hit by their own spelling only; an item that has any is also searched by all its windows so. Items of fewer than ``least`` tokens
+    are hit by their own words only, in any case of letters; an item that has any is also searched by all its windows so. Items of one or two tokens (``short``)
     are too unspecific and are not searched. Equal rows of the benchmark count once, other texts of the same item apart.
 
-    Window tables of the benchmark are joined in blocks of at most ``most`` rows, the proven bound of what
-    is broadcast; documents are scanned once per block and not shuffled before the join. Null texts hold nothing; null keys are
+    Documents are scanned once, for windows of all widths. An item table of at most ``most`` rows is broadcast; for a larger one windows first pass a
+    Bloom filter of at most ``most_blocks`` longs, and what passes is joined by shuffle. Every row is searched on its own: rows without key, or with one key and
+    different texts, never add up to a hit. Null texts hold nothing; null keys are
     kept as such; repeated rows count once; an empty table of either kind gives no rows; other columns are ignored.
     """
-    words = _tokens(benchmark.where(F.col(text).isNotNull()), item, text).where(F.size("_words") >= least).dropDuplicates(["_id", "_raws"]).withColumn("_v", F.xxhash64("_raws"))
-    plain = lambda w: ~w.isin(NAME, NUMBER, UNIT)
-    size = F.least(F.lit(width), F.size("_words"))
-    rows = words.select(
-        F.col("_id").alias(item),
-        "_v",
-        size.alias("width"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - size + 1), lambda i: F.struct((i - 1).alias("at"), *[F.slice(c, i, size).alias(n) for c, n in (("_words", "w1"), ("_words2", "w2"), ("_raws", "own"))]))).alias("x"),
-    ).select(item, "_v", "width", "x.at", "x.w1", "x.w2", "x.own")
-    rows = rows.withColumn("dense", F.size(F.filter("w1", plain)) < least).withColumn("any_dense", F.max("dense").over(Window.partitionBy(item, "_v")))
-    forms = F.filter(F.array(*[F.struct(F.lit(k).alias("template"), F.col(c).alias("w"), use.alias("use")) for k, (c, use) in enumerate((("w1", ~F.col("dense")), ("w2", ~F.col("dense")), ("own", F.col("any_dense"))))]), lambda x: x["use"])
-    rows = rows.select(item, "_v", "width", "at", "own", F.explode(forms).alias("x")).select(item, "_v", "width", "at", "own", "x.template", "x.w").withColumn("h", F.xxhash64("w"))
-    need = F.count("*").over(Window.partitionBy(item, "_v", "template")).cast("int")
-    table = rows.withColumn("need", F.least(F.lit(run), F.greatest(F.lit(1), need - 1)))
-    counts = table.groupBy("width", "template").count().collect()
-    sizes = {w: sum(r["count"] for r in counts if r["width"] == w) for w in sorted({r["width"] for r in counts})}
-    blocks = max(1, -(-sum(sizes.values()) // most))
-    doc_words = _tokens(docs, key, text)
-
-    found = None
-    for block in range(blocks):
-        for w in sizes or {width: 0}:
-            side = table.where((F.col("width") == w) & (F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
-            used = sorted({r["template"] for r in counts if r["width"] == w}) or [0]
-            both = F.arrays_zip(*[fixed(_windows(F.col(("_words", "_words2", "_raws")[k]), w)).alias(f"h{k}") for k in used])
-            hits = (
-                doc_words.select("_id", "_raws", F.posexplode(both).alias("_at", "x"))
-                .select("_id", "_raws", "_at", F.explode(F.array(*[F.struct(F.lit(k).alias("template"), F.col(f"x.h{k}").alias("h")) for k in used])).alias("x"))
-                .select("_id", "_raws", "_at", "x.*")
-                .join(F.broadcast(side), ["h", "template"])
-                .select("_id", item, "_v", "template", "at", "need", "_at", "w", "own", F.slice("_raws", F.col("_at") + 1, w).alias("_own"))
-            )
-            found = hits if found is None else found.unionByName(hits)
-    slots = F.filter(F.arrays_zip("w", "own", "_own"), lambda x: ~plain(x["w"]))
-    pairs = F.transform(slots, lambda x: F.struct(x["own"].alias("a"), x["_own"].alias("b")))
-    one = found.withColumn("shift", F.col("_at") - F.col("at")).withColumn("pairs", pairs).dropDuplicates(["_id", item, "_v", "template", "shift", "at"])
-    runs = one.groupBy("_id", item, "_v", "template", "shift", "need").agg(F.count("*").alias("n_windows"), F.min("_at").alias("first_token"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    held = runs.where((F.col("n_windows") >= F.col("need")) & consistent)
-    return held.groupBy(F.col("_id").alias(key), item).agg(F.max("n_windows").cast("long").alias("n_windows"), F.min("first_token").cast("long").alias("first_token"))
+    held = _held(docs, benchmark, width, least, run, short, key, item, text, most, most_blocks)
+    return held.groupBy(F.col("_id").alias(key), item).agg(F.max("n_windows").alias("n_windows"), F.min("first_token").alias("first_token"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", **more) -> DataFrame:
@@ -107,7 +161,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     return matches(docs, benchmark, key=key, item=item, **more).groupBy(key).agg(F.count("*").alias("n_items"), F.min(item).alias("first_item"), F.max("n_windows").alias("n_windows"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows with a null key stay."""
-    bad = contaminated(docs, benchmark, key=key, text=text, **more).select(key).where(F.col(key).isNotNull())
-    return docs.join(bad.hint("shuffle_hash"), key, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = 8, least: int = 5, run: int = 6, short: int = 3, item: str = "item_id", most: int = 200_000, most_blocks: int = 1 << 20) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, also without those that have no key; all columns as they are."""
+    bad = _held(docs, benchmark, width, least, run, short, key, item, text, most, most_blocks).select("_id", "_h").distinct()
+    bad = bad.select(F.col("_id").alias("_bad_id"), F.col("_h").alias("_bad_h")).hint("shuffle_hash")
+    own = docs.toDF(*(f"in{i}" for i in range(len(docs.columns))))
+    at = {c: f"in{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    left = own.join(bad, own[at[key]].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(own[at[text]]) == bad["_bad_h"]), "left_anti")
+    return left.toDF(*docs.columns)
