@@ -16,14 +16,17 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
 _RUN, _LONG_RUN = re.compile(r"<(\|+)"), re.compile(r"<\|(\|+)")
 
+#: Characters that the vocabulary file's splitting and this module's class alike, and white space beside a blank.
+_ODD, _BLANKS = re.compile("[^\\x00-\\x1b\\x20-\\u024f]"), re.compile(r" \s|\s ")
+
 
 def escape(text: str) -> str:
-    """One bar more after every ``<``: no control string is left in the text."""
-    return _RUN.sub(r"<|\1", text)
+    """One bar more after every ``<`` that a bar follows: no control string is left in the text."""
+    return _RUN.sub(r"<|\1", text) if "<|" in text else text
 
 
 def unescape(text: str) -> str:
-    return _LONG_RUN.sub(r"<\1", text)
+    return _LONG_RUN.sub(r"<\1", text) if "<||" in text else text
 
 
 def chat_vocabulary() -> str:
@@ -33,17 +36,22 @@ def chat_vocabulary() -> str:
 
 
 class Codec:
-    """A byte-level vocabulary (lossless) and the three reserved ids after its own."""
+    """A byte-level vocabulary (lossless) and the three reserved ids after its own.
+
+    Texts split into words before any merge, so a word's ids don't depend on its neighbours; they are encoded once,
+    by the library's merge model, and kept, up to ``most`` words. Texts with characters beyond the Latin blocks go to the library whole.
+    """
 
     _one: dict[str, Codec] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
         n = self.tokenizer.get_vocab_size()
         self.start, self.sep, self.end = n, n + 1, n + 2
@@ -54,6 +62,11 @@ class Codec:
         self.bytes = [b""] * n
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.spelt, self.merge = {b: c for c, b in byte.items()}, self.tokenizer.model.tokenize
+        #: how byte-level vocabularies split texts (fixed value of the file format)
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.first: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -61,12 +74,34 @@ class Codec:
             cls._one[path] = cls(path)
         return cls._one[path]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch([escape(x) for x in texts], add_special_tokens=False)]
+    def _pieces(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text that this module may split."""
+        spelt = self.spelt
+        ids = [t.id for w in self.split(text) for t in self.merge("".join([spelt[b] for b in w.encode()]))]
+        return np.asarray(ids, "<i4").tobytes()
+
+    def _miss(self, known: dict[str, bytes], word: str, blank: str) -> bytes:
+        got = self._pieces(blank + word)
+        if len(word) <= 64:
+            if len(known) >= self.most:
+                known.clear()
+            known[word] = got
+        return got
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of ``text``, escaped."""
+        text = escape(text)
+        if _ODD.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        if _BLANKS.search(text):
+            return np.frombuffer(self._pieces(text), "<i4")
+        head, *words = text.split(" ")
+        first, after, miss = self.first, self.after, self._miss
+        return np.frombuffer(b"".join([(first.get(head) or miss(first, head, "")) if head else b"", *[after.get(w) or miss(after, w, " ") for w in words]]), "<i4")
 
     def decode(self, ids) -> str:
         """The escaped text of ids without reserved ones."""
-        return b"".join([self.bytes[i] for i in ids]).decode()
+        return b"".join(map(self.bytes.__getitem__, ids)).decode()
 
 
 def _lists(parts: list[np.ndarray], kind: str) -> pa.ListArray:
@@ -77,29 +112,21 @@ def _lists(parts: list[np.ndarray], kind: str) -> pa.ListArray:
 def format_chats(chats: DataFrame, vocabulary: str | None = None, most_ids: int = 1 << 16) -> DataFrame:
     """Rows (conv_id, turn, role, text) to rows (conv_id, piece, ids, mask) in one order per conversation.
 
-    Segments are encoded where the rows are read; then a conversation's turns meet, sorted,
-    and reserved ids are spliced between them. The mask is the prefix sum of +1 at the start and -1
+    A conversation's turns meet, sorted, as texts; there segments are encoded one by one
+    and reserved ids spliced between them. The mask is the prefix sum of +1 at the start and -1
     behind the end of each assistant text. A conversation is emitted in pieces of whole turns of about
-    ``most_ids`` ids, so that memory stays bounded however many turns it has.
+    ``most_ids`` ids and streams through its task, so that memory stays bounded however many turns it has.
 
     Turns with equal numbers follow by role, then text; null turns come first. A null role or text is
-    empty; a null conv_id is a conversation of its own; an empty table gives no rows; other
+    empty; each row without conv_id is a conversation of its own, so such rows spread over all tasks; an empty table gives no rows; other
     columns are ignored.
     """
     path = vocabulary or chat_vocabulary()
     conv = chats.schema["conv_id"]
     rows = chats.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ids_type = T.ArrayType(T.IntegerType())
-
-    def encode(batches):
-        codec = Codec.of(path)
-        for b in batches:
-            cols = [_lists(codec.encode(b.column(c).to_pylist()), "int32") for c in ("role", "text")]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "role_ids", "text_ids"])
-
-    encoded = rows.mapInArrow(encode, T.StructType([*rows.schema.fields, T.StructField("role_ids", ids_type), T.StructField("text_ids", ids_type)]))
-    dealt = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    sent = dealt.select("conv_id", (F.col("role") == "assistant").alias("loss"), "role_ids", "text_ids")
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    sent = rows.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def assemble(batches):
         codec = Codec.of(path)
@@ -124,22 +151,24 @@ def format_chats(chats: DataFrame, vocabulary: str | None = None, most_ids: int
             done.clear()
             return out
 
-        types, first = [pa.int64()], True
+        types, first, role_ids = [pa.int64()], True, {}
         for b in batches:
             types = [b.column("conv_id").type]
-            role_ids, text_ids = b.column("role_ids"), b.column("text_ids")
-            flat, at = [c.values.to_numpy() for c in (role_ids, text_ids)], [c.offsets.to_numpy() for c in (role_ids, text_ids)]
-            for k, (c, loss) in enumerate(zip(b.column("conv_id").to_pylist(), b.column("loss").to_pylist(), strict=True)):
-                if first or c != now:
+            for c, role, text in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
+                if first or c is None or c != now:
                     close()
                     now, piece, first = c, 0, False
                 elif size >= most_ids:
                     close()
-                role, text = (flat[i][at[i][k] : at[i][k + 1]] for i in (0, 1))
-                if loss:
-                    flips.append((size + 2 + len(role), size + 2 + len(role) + len(text)))
-                segments += [marks[0], role, marks[1], text, marks[2]]
-                size += 3 + len(role) + len(text)
+                if role not in role_ids:
+                    if len(role_ids) > 1000:
+                        role_ids.clear()
+                    role_ids[role] = codec.encode(role)
+                name, ids = role_ids[role], codec.encode(text)
+                if role == "assistant":
+                    flips.append((size + 2 + len(name), size + 2 + len(name) + len(ids)))
+                segments += [marks[0], name, marks[1], ids, marks[2]]
+                size += 3 + len(name) + len(ids)
             if done:
                 yield flush()
         close()
@@ -161,7 +190,7 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         codec = Codec.of(path)
-        text_of = {codec.start: START, codec.sep: SEP, codec.end: END}
+        marks = len(START) + len(SEP) + len(END)
         state: dict | None = None
         done: list[tuple] = []
 
@@ -185,14 +214,16 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 reserved = np.nonzero(ids >= codec.start)[0]
                 if list(ids[reserved]) != [codec.start, codec.sep, codec.end] * (len(reserved) // 3):
                     raise ValueError("the reserved ids don't alternate as the template says")
+                ids, told = ids.tolist(), {}
                 for s, m, e in reserved.reshape(-1, 3).tolist():
-                    role, text = codec.decode(ids[s + 1 : m].tolist()), codec.decode(ids[m + 1 : e].tolist())
+                    role, text = codec.decode(ids[s + 1 : m]), codec.decode(ids[m + 1 : e])
+                    told[m + 1, e] = plain = unescape(text)
                     state["turns"] += 1
-                    state["all"].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                    state["formatted"] += len(role) + len(text) + sum(map(len, text_of.values()))
+                    state["all"].update(f"{unescape(role)}\n{plain}\n".encode())
+                    state["formatted"] += len(role) + len(text) + marks
                 steps = np.diff(np.concatenate([[0], mask, [0]]))
                 for s, e in zip(np.nonzero(steps == 1)[0].tolist(), np.nonzero(steps == -1)[0].tolist(), strict=True):
-                    text = unescape(codec.decode(ids[s:e].tolist()))
+                    text = told[s, e] if (s, e) in told else unescape(codec.decode(ids[s:e]))
                     state["chars"] += len(text)
                     state["loss"].update(text.encode())
             if done:

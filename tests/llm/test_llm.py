@@ -147,9 +147,26 @@ def test_chat(spark, most):
         loss = "".join(x for _, role, x in v if role == "assistant")
         assert r.n_turns == len(v) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{x}\n" for _, a, x in v).encode()).hexdigest()
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        marked = "".join(chat.START + chat.escape(a) + chat.SEP + chat.escape(x) + chat.END for _, a, x in v)
+        assert r.formatted_chars == len(marked)
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_rows_without_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", f"t{i % 7}") for i in range(50)] + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
+    rows = chat.read_back(chat.format_chats(df)).collect()
+    assert len(rows) == 51 and {r.n_turns for r in rows} == {1} and sum(r.formatted_chars for r in rows) == 50 * 38 + 32
+
+
+def test_chat_codec_equals_library():
+    codec = chat.Codec.of(chat.chat_vocabulary())
+    alphabet = [chr(i) for i in range(0x260)] + list("'s't're ve   \n\n\t  ab<|") * 12 + list("ΣЖ中") + ["<|endoftext|>", "\u0301", "\u2028", " a", " Foo,", "\x1c"]
+    for n in range(4000):
+        t = "".join(random.choice(alphabet if n % 3 else alphabet[:0x250]) for _ in range(random.randint(0, 16)))
+        assert codec.encode(t).tolist() == codec.tokenizer.encode(chat.escape(t), add_special_tokens=False).ids, t
+        assert chat.unescape(codec.decode(codec.encode(t).tolist())) == t
+
+
 def test_escape_is_reversible():
     for _ in range(2000):
         t = "".join(random.choice("<|>ab") for _ in range(8))
