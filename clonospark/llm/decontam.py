@@ -43,8 +43,10 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     df = df.select("_id", "_h", fixed(F.when(F.contains("_u", F.lit(SPELT)), tens).otherwise(F.col("_u"))).alias("_u"))
     numbered = F.regexp_replace(F.regexp_replace("_u", rf"(?<![^ ])[{SPELT}\p{{N}}][^ ]*", NUMBER), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
     df = df.select("_id", "_h", "_u", fixed(F.when(F.col("_u").rlike(rf"[{SPELT}\p{{N}}]"), numbered).otherwise(F.col("_u"))).alias("_n"))
-    named = F.when(F.contains("_n", F.lit(NAME)), F.regexp_replace("_n", f"{NAME}[^ ]+(?: {NAME}[^ ]+)*", NAME)).otherwise(F.col("_n"))
-    all_named = F.regexp_replace("_n", f"[{NAME}{CAP}][^ ]+(?: [{NAME}{CAP}][^ ]+)*", NAME)
+    # two plain replacements: one pattern that repeats a group would need stack for every word of a long run
+    merged = lambda c: F.regexp_replace(c, f"(?<={NAME}) {NAME}", "")
+    named = F.when(F.contains("_n", F.lit(NAME)), merged(F.regexp_replace("_n", f"{NAME}[^ ]+", NAME))).otherwise(F.col("_n"))
+    all_named = merged(F.regexp_replace("_n", f"[{NAME}{CAP}][^ ]+", NAME))
     return df.select("_id", "_h", "_u", fixed(F.lower(F.translate(named, CAP, ""))).alias("_w0"), fixed(F.lower(all_named)).alias("_w1"), fixed(F.lower(F.translate("_u", NAME + CAP + SPELT, ""))).alias("_w2"))
 
 

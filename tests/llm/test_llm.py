@@ -227,6 +227,50 @@ def test_decontamination_of_dense_and_repeated_items(spark):
     assert held.count() == decontam.matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench, most=3).count()
 
 
+def test_decontamination_of_values_spelt_otherwise(spark):
+    items = [(1, "what is 12 plus 13"), (2, "12 + 15 = 27, 30 + 40 = 70, 1 + 2 = 3"), (3, "name the capital city"), (4, "Tom Brown has 3 boxes. Tom buys 4 more boxes of red pens. How many boxes does Tom Brown have now?"), (5, "Tom has three boxes with 12 red pens in each of them and gives 2 km away")]
+    texts = {
+        1: "what is 12 plus 13",
+        2: "x 12 + 15 = 27, 30 + 40 = 70, 1 + 2 = 3 y",
+        3: "Please, name the capital city now",
+        4: "Mary has 5 boxes. Mary buys 7 more boxes of red pens. How many boxes does Mary have now?",
+        5: "Problem: Jo Ann Lee has 5 boxes. Jo buys 7 more boxes of red pens. How many boxes does Jo Ann Lee have now?",
+        6: "Ann has 5 boxes with 7 red pens in each of them and gives twenty miles away",
+        7: "Ann has twenty-five boxes with 7 red pens in each of them and gives 2 km away",
+        8: "Mary sells 5 boxes. Mary buys 7 boxes of red pens. Not many boxes.",
+        9: "What Is " * 20_000 + "name the capital town",
+    }
+    halves = ["Mary has 5 boxes. Mary buys 7 more boxes", "of red pens. How many boxes does Mary have now?"]
+    rows = [*texts.items(), *((None, x) for x in halves), *((70, x) for x in halves), (None, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.lit("a"), "_h": F.lit("b"), "item_id": F.lit("c")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (200_000, 3):
+        held = decontam.matches(df, bench, most=most).collect()
+        assert {(r.doc_id, r.item_id) for r in held} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 5), (7, 5), (None, 4)}
+        left = decontam.clean(df, bench, most=most)
+        assert left.columns == df.columns and sorted((r.doc_id or 0, r.text, r._id) for r in left.collect()) == sorted((i or 0, x, "a") for i, x in rows if i in (8, 9) or x in halves)
+
+
+def test_decontamination_recall_on_other_values(spark):
+    rng = random.Random(3)
+    names, verbs, things = "Tom Anna Peter Maria Ahmed Chen Olga Ravi".split(), "buys sells finds counts packs paints".split(), "boxes pens cups books stones apples".split()
+
+    def problem(seed, a, b, number):
+        r = random.Random(seed)
+        v, x, y = [r.choice(verbs) for _ in range(3)], r.choice(things), r.choice(things)
+        return f"{a} {v[0]} {number()} {x} at the market on a {r.choice(['cold', 'warm', 'dark'])} day. {b} {v[1]} {number()} {y} from {a}. Then {a} {v[2]} {number()} more {x}. How many {x} does {a} have now, and how many {y} does {b} have?"
+
+    plain = lambda: rng.randint(2, 900)
+    other = lambda: rng.choice([str(rng.randint(2, 900)), f"{rng.randint(1, 9)},{rng.randint(100, 999)}", rng.choice(decontam.SMALL), f"{rng.choice(decontam.TENS)}-{rng.choice(decontam.SMALL[1:10])}"])
+    items = [(i, problem(i, *rng.sample(names, 2), plain)) for i in range(60)]
+    texts = [(i, f"{text(30)}. {problem(i, *rng.choice([rng.sample(names, 2), ['Jo Ann Lee', 'Max']]), other)} {text(20)}") for i in range(60)]
+    clean = [(1000 + i, f"{text(30)}. {problem(5000 + i, *rng.sample(names, 2), other)} {text(20)}".replace("at the market on a", "in town one").replace("How many", "Say which").replace("Then", "later").replace("from", "without")) for i in range(60)]
+    held = decontam.matches(spark.createDataFrame(texts + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r.doc_id for r in held if r.doc_id == r.item_id}
+    assert len(found) >= 54
+    assert not any(r.doc_id >= 1000 for r in held)
+
+
 def test_quality(docs, empty):
     for r in quality.judge(docs).collect():
         if r.doc_id is None:
@@ -242,6 +286,11 @@ def test_quality(docs, empty):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
         assert not (r.base_failed and r.kept)
     assert quality.judge(empty).count() == 0
+    names = ["n_words", "_words", "_lines", "_solid", "_grams", "_sorted", "_places", "kept", "base_failed", "word_chars", "in0", "n_lines"]
+    clash = docs.select("doc_id", "text").withColumns({n: F.lit("mine") for n in names})
+    got = quality.passing(clash).collect()
+    assert quality.passing(clash).columns == clash.columns and len(got) == quality.judge(docs).where("kept").count()
+    assert all(r[n] == "mine" for r in got for n in names) and quality.judge(clash).where("in0 <> 'mine' or _words <> 'mine'").count() == 0
     assert quality.judge(docs).where("kept").count() == sum(bool(r.kept) for r in quality.judge(docs).collect())
 
 
