@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fixed
+from .shared import filtered, fixed
 
 #: Placeholders (private-use characters): name, number, unit; the joint inside a number; the marks of other capitalised
 #: words and of numbers spelt out; and the tie between the words of one value.
@@ -109,13 +109,6 @@ def _table(benchmark: DataFrame, item: str, text: str, width: int, least: int, r
     return table.select(item, "_v", "form", "at", "width", "w", "raw", "h", F.least(F.lit(run), F.greatest(F.lit(1), need - 1)).alias("need"))
 
 
-def _mask(h: Column) -> Column:
-    """Four of 64 bits."""
-    g = F.xxhash64(h)
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(g, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
-    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
-
-
 def _hits(docs: DataFrame, table: DataFrame, item: str, key: str, text: str, most: int, most_blocks: int) -> DataFrame:
     """Windows of documents that are windows of items, each with the document's own tokens there; one scan for all widths and both forms."""
     shapes = sorted(map(tuple, table.groupBy("form", "width").count().collect())) or [(TEMPLATE, 1, 0)]
@@ -137,14 +130,12 @@ def _hits(docs: DataFrame, table: DataFrame, item: str, key: str, text: str, mos
     out = ["_id", "_h", item, "_v", "form", "at", at.alias("_at"), "need", "w", "raw"]
     if n <= most:
         return found.join(F.broadcast(table), "h").select(*out, own)
-    # a Bloom filter in blocks of 64 bits, joined by block: what passes is joined by shuffle, so the answer is exact
-    blocks = min(most_blocks, max(16, n // 4))
-    bits = table.select(F.pmod("h", F.lit(blocks)).alias("_b"), _mask(F.col("h")).alias("_m")).groupBy("_b").agg(F.bit_or("_m").alias("_bits"))
-    passed = found.withColumn("_b", F.pmod("h", F.lit(blocks))).join(F.broadcast(bits), "_b").where(F.col("_bits").bitwiseAND(_mask(F.col("h"))) == _mask(F.col("h")))
+    # windows pass a Bloom filter; what passes is joined by shuffle, so the answer is exact
+    passed = filtered(found, table.select("h"), "h", n, most_blocks)
     # of the text only what can be a slot's travels: the widest window from here on, whichever shape the place has
     ends = [F.col(f"_base{form}_{width}") for form, width, _ in shapes]
     first = F.greatest(*[F.when(F.col("_pos") >= e, e) for e in ends])
-    slim = passed.withColumn("_tail", F.slice(_values(), (F.col("_pos") - first).cast("int") + 1, max(s[1] for s in shapes))).drop("_u", "_b", "_bits")
+    slim = passed.withColumn("_tail", F.slice(_values(), (F.col("_pos") - first).cast("int") + 1, max(s[1] for s in shapes))).drop("_u")
     both = slim.join(table.hint("shuffle_hash"), "h")
     return both.select(*out, F.when(F.col("form") == TEMPLATE, F.slice("_tail", F.lit(1), F.col("width"))).alias("_own"))
 

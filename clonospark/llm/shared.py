@@ -54,6 +54,27 @@ def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bloom_mask(h: Column) -> Column:
+    """Four of 64 bits, by the hash of a long."""
+    g = F.xxhash64(h)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(g, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def filtered(df: DataFrame, keys: DataFrame, key: str, n: int | None = None, most_blocks: int = 1 << 20) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` is among ``keys``, and a few others: a Bloom filter in blocks of 64 bits, joined by block.
+
+    At most ``most_blocks`` longs are broadcast, whatever the number of keys; with far more keys the filter lets more rows pass, and never fewer than it must.
+    ``n`` is the number of keys, if the caller knows it.
+    """
+    n = keys.count() if n is None else n
+    blocks = min(most_blocks, max(16, n // 4))
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(blocks))
+    bits = keys.select(block(F.col(key)).alias("_block"), bloom_mask(F.col(key)).alias("_mask")).groupBy("_block").agg(F.bit_or("_mask").alias("_bits"))
+    mine = bloom_mask(F.col(key))
+    return df.withColumn("_block", block(F.col(key))).join(F.broadcast(bits), "_block").where(F.col("_bits").bitwiseAND(mine) == mine).drop("_block", "_bits")
+
+
 def fixed(col: Column) -> Column:
     """``col``, computed once per row where it stands.
 
