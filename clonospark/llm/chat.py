@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 #: The template's marks: a turn is ``START role SEP text END``. Their ids follow the vocabulary's own.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
@@ -176,7 +178,7 @@ def format_chats(chats: DataFrame, vocabulary: str | None = None, most_ids: int
             yield flush()
 
     fields = [conv, T.StructField("piece", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("mask", T.ArrayType(T.ByteType()))]
-    return sent.mapInArrow(assemble, T.StructType(fields))
+    return sent.mapInArrow(shared.trimmed(assemble), T.StructType(fields))
 
 
 def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -232,4 +234,4 @@ def read_back(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if done:
             yield flush(kind)
 
-    return formatted.mapInArrow(run, T.StructType([formatted.schema["conv_id"], *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
+    return formatted.mapInArrow(shared.trimmed(run), T.StructType([formatted.schema["conv_id"], *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))

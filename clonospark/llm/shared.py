@@ -40,6 +40,23 @@ def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a Python worker that afterwards gives back what it no longer needs: workers live on between tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import contextlib
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def mark() -> int:
     return len(_CUTS)
 
@@ -118,7 +135,7 @@ def by_partition(df: DataFrame, fields: list[T.StructField], step: Callable[[],
                     names=[*b.schema.names, *(f.name for f in fields), "part"],
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def offsets(totals: list[tuple], keys: int = 0) -> dict[tuple, int]:

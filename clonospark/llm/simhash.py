@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([fingerprint(x or b"", words) for x in texts], pa.int64())], names=[key, "fp"])
 
     schema = T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
-    return docs.select(F.col(key), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("binary").alias("_text")).mapInArrow(shared.trimmed(run), schema)
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, tile: int = 2048) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(froms)), pa.array(np.concatenate(tos))], names=["a", "b"])
 
     same = ((F.col("step") == 0) & (F.col("block_a") == F.col("block"))).alias("same")
-    return pairs.select("a", "b", same).mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", same).mapInArrow(shared.trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

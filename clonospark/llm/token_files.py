@@ -84,7 +84,7 @@ def id_checksums(rows: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
     schema = T.StructType([rows.schema[key], *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
-    return rows.select(key, "start", "n_tokens", "ids").mapInArrow(run, schema)
+    return rows.select(key, "start", "n_tokens", "ids").mapInArrow(shared.trimmed(run), schema)
 
 
 def token_lengths(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", extra: int = 1) -> DataFrame:
@@ -97,4 +97,4 @@ def token_lengths(docs: DataFrame, vocabulary: str | None = None, key: str = "do
             lens = [(len(codec.encode(x or "")) >> 1) + extra for x in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(lens, pa.int64())], names=[key, "n_tokens"])
 
-    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType())]))
+    return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(shared.trimmed(run), T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType())]))
