@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,12 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, most: int = 1000) -> Iterator[None]:
+    """Rows with texts or sets go to Python workers in batches of at most ``most``: both sides hold a batch outside the heap, several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= most:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost
     executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with _small_batches(spark):
+        df.write.options(**options).parquet(path)
     _CUTS.append(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
@@ -47,7 +64,6 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            import contextlib
             import ctypes
 
             pa.default_memory_pool().release_unused()
