@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions import matrices
 from .operators import annotate, evalue, mass, precursor
 from .sources import readers
 
@@ -41,6 +42,15 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _penalties(spark: SparkSession, matrix: str | None) -> dict[str, int] | None:
+    """``codon``, or a table of aa1, aa2, score; without a matrix every edit costs one."""
+    if matrix in (None, "", "unit"):
+        return None
+    if matrix == "codon":
+        return matrices.codon_penalties()
+    return matrices.penalties(matrices.read_similarity(readers.read_delimited(spark, matrix)))
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "update":
@@ -59,8 +69,8 @@ def main(argv: list[str] | None = None) -> int:
             print("no control: E-values are left out", file=sys.stderr)
         for path in a.samples:
             q = readers.read_rearrangement(spark, path)
-            h = annotate.hits(q, records, params.scope, params.match_v, params.match_j, align=params.align).cache()
-            e = evalue.fixed_ball(q, records, control, params.scope).select("query_cdr3", "E", "p_enrichment") if control is not None else None
+            h = annotate.hits(q, records, params.scope, params.match_v, params.match_j, penalties=_penalties(spark, params.matrix), align=params.align).cache()
+            e = evalue.fixed_ball(q, records, control, params.scope).select(F.col("locus").alias("gene"), "query_cdr3", "E", "p_enrichment") if control is not None else None
             readers.write_tables({"hits": h, "calls": annotate.best_call(h, e), "summary": annotate.epitope_summary(h).orderBy(F.desc("unique"))}, f"{a.out}/{Path(path).name.split('.')[0]}", params)
             h.unpersist()
         return 0

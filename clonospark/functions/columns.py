@@ -67,12 +67,18 @@ def op_count(ops: Column, op: str) -> Column:
 
 
 def poisson_sf(k: Column, lam: Column) -> Column:
-    """P(X >= k) for Poisson(lam): terms in logarithms, so that a large rate doesn't underflow. k <= 0: 1; lam <= 0: 0."""
+    """P(X >= k) for Poisson(lam). k <= 0: 1; lam <= 0: 0.
+
+    Up to the mean the lower tail is taken from 1; beyond it the upper tail is summed itself, from the logarithm of its first term, so small values
+    keep their digits. Terms fall off beyond about ten standard deviations, and so many are summed.
+    """
     log = F.ln(F.greatest(lam, F.lit(1e-300)))
     start = F.struct((-lam).alias("term"), F.lit(0.0).alias("sum"))
     step = lambda acc, i: F.struct((acc["term"] + log - F.ln(i + 1)).alias("term"), (acc["sum"] + F.exp(acc["term"])).alias("sum"))
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(k, F.lit(1)).cast("int") - 1), start, lambda a, i: step(a, i.cast("double")))["sum"]
-    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - total))
+    low = F.aggregate(F.sequence(F.lit(0), F.greatest(k, F.lit(1)).cast("int") - 1), start, lambda a, i: step(a, i.cast("double")))
+    ratio = lambda a, i: F.struct((a["term"] * lam / (k + i)).alias("term"), (a["sum"] + a["term"] * lam / (k + i)).alias("sum"))
+    more = F.aggregate(F.sequence(F.lit(1), 60 + (10 * F.sqrt(F.greatest(k, F.lit(1)))).cast("int")), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), ratio)["sum"]
+    return F.when(k <= 0, 1.0).when(lam <= 0, 0.0).when(k > lam, F.least(F.lit(1.0), F.exp(low["term"] + F.ln(more)))).otherwise(F.greatest(F.lit(0.0), 1 - low["sum"]))
 
 
 def fisher(pa: Column, pb: Column) -> Column:

@@ -116,11 +116,18 @@ def epitope_summary(h: DataFrame) -> DataFrame:
 
 
 def best_call(h: DataFrame, evalues: DataFrame | None = None) -> DataFrame:
-    """Per query the epitope with most hits, then the highest record score, then the least alignment score."""
-    per = h.groupBy("query_cdr3", "epitope").agg(F.count("*").alias("support"), F.max("vdjdb_score").alias("vdjdb_score"), F.min("score").alias("score"), F.min("mhc_class").alias("mhc_class"))
-    w = Window.partitionBy("query_cdr3").orderBy(F.desc("support"), F.desc("vdjdb_score"), F.asc("score"), F.asc("epitope"))
-    out = per.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return out.join(evalues.dropDuplicates(["query_cdr3"]), "query_cdr3", "left") if evalues is not None else out
+    """Per query, in each locus, the epitope with most hits, then the highest record score, then the least alignment score.
+
+    ``evalues`` are joined by CDR3, and by locus (``gene``) where they have it.
+    """
+    keys = ["gene", "query_cdr3"]
+    per = h.groupBy(*keys, "epitope").agg(F.count("*").alias("support"), F.max("vdjdb_score").alias("vdjdb_score"), F.min("score").alias("score"), F.min("mhc_class").alias("mhc_class"))
+    order = F.struct((-F.col("support")).alias("s"), (-F.coalesce("vdjdb_score", F.lit(-1))).alias("v"), "score", "epitope")
+    best = per.groupBy(*keys).agg(F.min_by(F.struct("epitope", "support", "vdjdb_score", "score", "mhc_class"), order).alias("x")).select(*keys, "x.*")
+    if evalues is None:
+        return best
+    on = [k for k in keys if k in evalues.columns]
+    return best.join(evalues.dropDuplicates(on), on, "left")
 
 
 def replicated(records: DataFrame, least: int = 2) -> DataFrame:
@@ -135,7 +142,7 @@ def annotate_samples(samples: DataFrame, records: DataFrame, controls: DataFrame
     from .evalue import fixed_ball
 
     h = hits(samples, records, scope)
-    e = fixed_ball(samples, records, controls, scope).select("query_cdr3", "E", "p_enrichment") if controls is not None else None
+    e = fixed_ball(samples, records, controls, scope).select(F.col("locus").alias("gene"), "query_cdr3", "E", "p_enrichment") if controls is not None else None
     return {"hits": h, "calls": best_call(h, e), "summary": epitope_summary(h)}
 
 

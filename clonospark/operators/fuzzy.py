@@ -122,15 +122,26 @@ def _segments(length: Column, parts: int) -> Column:
     return F.array(*[piece(p) for p in range(parts)])
 
 
+def _deletions(s: Column, most: int) -> Column:
+    """What is left of a string after up to ``most`` deletions."""
+    layer = out = F.array(s)
+    for _ in range(most):
+        shorter = F.transform(layer, lambda x: F.transform(F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1))))
+        layer = F.array_distinct(F.flatten(shorter))
+        out = F.array_union(out, layer)
+    return out
+
+
 def fuzzy_join(queries: DataFrame, targets: DataFrame, scope: str | Budget = "1", keys: Sequence[str] = (), a: str = "cdr3", b: str = "cdr3") -> DataFrame:
     """Distinct pairs (keys, a, b, n_subs, n_ins, n_dels, cost) within the budget.
 
     Distinct strings are matched; callers join wide rows back afterwards. No plan is a nested loop:
     equality for budget 0; one-residue masks for one substitution (exact, no duplicates); for k
     substitutions, k + 1 interleaved parts of which one must agree, and the pair is kept at
-    its first agreeing part only, so nothing needs to be deduplicated; with indels, one of total + 1
+    its first agreeing part only, so nothing needs to be deduplicated; with indels and one or two edits, what two strings are
+    after as many deletions must be equal somewhere, and such keys hold nearly whole strings, so germline ends alike in all make none hot; with more edits, one of total + 1
     stretches of the target must stand in the query within the shift that the budget
-    allows, verified by bounded edit distance and then by an alignment that counts each kind of edit. ``keys`` join too.
+    allows. Both are verified by bounded edit distance and then by an alignment that counts each kind of edit. ``keys`` join too.
     """
     g = parse_scope(scope)
     left = queries.select(*keys, F.col(a).alias("a")).where("a is not null").distinct()
@@ -153,12 +164,18 @@ def fuzzy_join(queries: DataFrame, targets: DataFrame, scope: str | Budget = "1"
         first = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), F.transform("off", lambda i: i % parts)))
         return ints(both.where((F.size("off") <= subs) & (F.col("at") == first)), F.size("off"))
     ins, dels, parts = min(g.ins, g.total), min(g.dels, g.total), g.total + 1
-    y = right.select(*keys, "b", F.length("b").alias("n"), F.inline(_segments(F.length("b"), parts))).withColumn("key", F.expr("substr(b, start + 1, width)")).drop("start", "width")
-    x = left.select(*keys, "a", F.explode(F.sequence(F.greatest(F.length("a") - ins, F.lit(0)), F.length("a") + dels)).alias("n"))
-    x = x.select(*keys, "a", "n", F.inline(_segments(F.col("n"), parts)))
-    x = x.select(*keys, "a", "n", "at", "width", F.explode(F.sequence(F.greatest(F.col("start") - dels, F.lit(0)), F.greatest(F.col("start") + ins, F.lit(0)))).alias("from"))
-    x = x.where("from + width <= length(a)").select(*keys, "a", "n", "at", F.expr("substr(a, from + 1, width)").alias("key")).distinct()
-    near = x.join(y, [*keys, "n", "at", "key"]).select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b", g.total) >= 0)
+    if g.total <= 2:
+        x = left.select(*keys, "a", F.explode(_deletions(F.col("a"), min(g.total, g.subs + ins))).alias("key"))
+        y = right.select(*keys, "b", F.explode(_deletions(F.col("b"), min(g.total, g.subs + dels))).alias("key"))
+        fits = F.length("a") - F.length("b")
+        near = x.join(y, [*keys, "key"]).where((fits <= ins) & (fits >= -dels)).select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b", g.total) >= 0)
+    else:
+        y = right.select(*keys, "b", F.length("b").alias("n"), F.inline(_segments(F.length("b"), parts))).withColumn("key", F.expr("substr(b, start + 1, width)")).drop("start", "width")
+        x = left.select(*keys, "a", F.explode(F.sequence(F.greatest(F.length("a") - ins, F.lit(0)), F.length("a") + dels)).alias("n"))
+        x = x.select(*keys, "a", "n", F.inline(_segments(F.col("n"), parts)))
+        x = x.select(*keys, "a", "n", "at", "width", F.explode(F.sequence(F.greatest(F.col("start") - dels, F.lit(0)), F.greatest(F.col("start") + ins, F.lit(0)))).alias("from"))
+        x = x.where("from + width <= length(a)").select(*keys, "a", "n", "at", F.expr("substr(a, from + 1, width)").alias("key")).distinct()
+        near = x.join(y, [*keys, "n", "at", "key"]).select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b", g.total) >= 0)
     done = align_column(near, "a", "b", g)
     n = {k: C.op_count(F.col("ops"), op).cast("int") for k, op in (("n_subs", "S"), ("n_ins", "I"), ("n_dels", "D"))}
     return done.select(*keys, "a", "b", *[v.alias(k) for k, v in n.items()], (n["n_subs"] + n["n_ins"] + n["n_dels"]).alias("cost"))

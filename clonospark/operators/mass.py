@@ -34,13 +34,23 @@ class PgenModel:
         lens = s.groupBy("n").agg(F.count("*").alias("k")).withColumn("p_n", F.col("k") / F.sum("k").over(Window.partitionBy(F.lit(1)))).drop("k")
         return cls(freq.cache(), lens.cache())
 
+    def _tables(self) -> DataFrame:
+        """(n, p_n, ps): one row per length, ps with the twenty residues' probabilities of each place in turn."""
+        at = F.struct(F.expr(f"pos * 20 + instr('{AMINO_ACIDS}', aa) - 1").alias("i"), "p")
+        cells = self.freq.where(F.instr(F.lit(AMINO_ACIDS), F.col("aa")) > 0).groupBy("n").agg(F.map_from_entries(F.collect_list(at)).alias("m"))
+        ps = F.transform(F.sequence(F.lit(0), F.col("n") * 20 - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+        return cells.select("n", ps.alias("ps")).join(F.broadcast(self.lens), "n")
+
     def pgen(self, df: DataFrame, cdr3: str = "cdr3", name: str = "pgen") -> DataFrame:
-        """``df`` with the probability of each string; 0 where a residue or length is unseen."""
-        s = df.select(F.col(cdr3).alias("s")).distinct()
-        at = s.select("s", F.length("s").alias("n"), F.posexplode(F.split("s", "")).alias("pos", "aa"))
-        p = at.join(F.broadcast(self.freq), ["n", "pos", "aa"], "left").groupBy("s", "n").agg(F.sum(F.ln("p")).alias("l"), F.count("p").alias("k"))
-        p = p.join(F.broadcast(self.lens), "n", "left").select(F.col("s").alias(cdr3), F.when(F.col("k") == F.col("n"), F.exp("l") * F.coalesce("p_n", F.lit(0.0))).otherwise(0.0).alias(name))
-        return df.join(p, cdr3, "left").fillna(0.0, [name])
+        """``df`` with the probability of each string; 0 where a length or residue is unseen, and for symbols that are no residue.
+
+        The model has a row per length, so it is broadcast, and each string's probability is one expression: nothing is exploded or shuffled.
+        """
+        t = self._tables().select(F.col("n").alias("_n"), F.col("p_n").alias("_p_n"), F.col("ps").alias("_ps"))
+        rows = df.join(F.broadcast(t), F.length(F.col(cdr3)) == t["_n"], "left")
+        place = lambda x, i: F.when(F.instr(F.lit(AMINO_ACIDS), x) > 0, F.get("_ps", i * 20 + F.instr(F.lit(AMINO_ACIDS), x) - 1)).otherwise(0.0)
+        total = F.aggregate(F.transform(F.split(F.col(cdr3), ""), place), F.lit(0.0), lambda a, p: a + F.when(p > 0, F.ln(p)).otherwise(float("-inf")))
+        return rows.withColumn(name, F.when(F.col("_n").isNull(), 0.0).otherwise(F.exp(total) * F.col("_p_n"))).drop("_n", "_p_n", "_ps")
 
     def motif_mass(self, motifs: DataFrame) -> DataFrame:
         """(cid, mass) of residue sets per place (cid, pos, allowed): P(length) times the product of set masses."""

@@ -177,9 +177,9 @@ def epitope_summary(t):
     return annotate.epitope_summary(annotate.hits(t.qry, t.rec)).withColumnRenamed("unique", "unique_cdr3")
 
 
-@query(f"select query_cdr3, epitope, support, vdjdb_score, score from (select *, row_number() over (partition by query_cdr3 order by support desc, vdjdb_score desc, score, epitope) as rn from (select query_cdr3, epitope, count(*) as support, max(vdjdb_score) as vdjdb_score, min(n_subs) as score from ({HITS}) h group by all) x) y where rn = 1")
+@query(f"select gene, query_cdr3, epitope, support, vdjdb_score, score from (select *, row_number() over (partition by gene, query_cdr3 order by support desc, vdjdb_score desc, score, epitope) as rn from (select gene, query_cdr3, epitope, count(*) as support, max(vdjdb_score) as vdjdb_score, min(n_subs) as score from ({HITS}) h group by all) x) y where rn = 1")
 def best_call(t):
-    return annotate.best_call(annotate.hits(t.qry, t.rec)).select("query_cdr3", "epitope", "support", "vdjdb_score", "score")
+    return annotate.best_call(annotate.hits(t.qry, t.rec)).select("gene", "query_cdr3", "epitope", "support", "vdjdb_score", "score")
 
 
 # ---- significance
@@ -306,7 +306,7 @@ ORACLES["components"] = ORACLES["components"].replace("with rec as", "with recur
 _MODEL = """m0 as (select length(cdr3) as n, cdr3 from ctl where locus = 'TRB'), f0 as (select n, i, cdr3[i] as aa, count(*) as k from (select n, cdr3, unnest(range(1, n + 1)) as i from m0) x group by all),
   f as (select n, i, aa, k / sum(k) over (partition by n, i) as p from f0), l as (select n, count(*) / (select count(*) from m0) as pn from m0 group by 1)"""
 _AAS = "(select unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) as aa)"
-_CENTERS = "c as (select distinct epitope, cdr3 as s from rec where gene = 'TRB' and rec_id < 200)"
+_CENTERS = "c as (select distinct epitope, cdr3 as s from rec where gene = 'TRB')"
 _BALL1 = f"""b as (select epitope, s as center, s as member, 0 as d from c union all select epitope, s, concat(s[1:i-1], aa, s[i+1:]), 1 from (select *, unnest(range(1, length(s) + 1)) as i from c) x, {_AAS} where aa <> s[i])"""
 
 
@@ -323,7 +323,7 @@ def _model(t: Tables) -> mass.PgenModel:
 
 
 def _centers(t: Tables) -> DataFrame:
-    return t.rec.where("gene = 'TRB' and rec_id < 200").select("epitope", "cdr3").distinct()
+    return t.rec.where("gene = 'TRB'").select("epitope", "cdr3").distinct()
 
 
 def _log(c) -> object:
