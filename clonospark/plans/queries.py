@@ -405,9 +405,9 @@ def event_ratio(t):
     return out.select("epitope", "n_events", F.round("ratio", 9).alias("ratio"))
 
 
-@query("select cid, pos, case when total is null or total < 0.992 then string_split('ACDEFGHIKLMNPQRSTVWY', '') else aas end as allowed from (select distinct v as cid, unnest(range(0, 13)) as pos from rec) s left join (select v as cid, i - 1 as pos, sum(1) / 400 as total, list_sort(list(distinct cdr3[i])) as aas from (select v, cdr3, unnest(range(1, 14)) as i from rec where length(cdr3) = 13) x group by all) y using (cid, pos)")
+@query("select cid, pos, case when total is null or total < 0.992 then string_split('ACDEFGHIKLMNPQRSTVWY', '') else aas end as allowed from (select distinct v as cid, unnest(range(0, 13)) as pos from rec) s left join (select v as cid, i - 1 as pos, sum(1) / 140 as total, list_sort(list(distinct cdr3[i])) as aas from (select v, cdr3, unnest(range(1, 14)) as i from rec where length(cdr3) = 13) x group by all) y using (cid, pos)")
 def motif_sets(t):
-    at = t.rec.where(F.length("cdr3") == 13).select(F.col("v").alias("cid"), F.posexplode(F.split("cdr3", "")).alias("pos", "aa")).groupBy("cid", "pos", "aa").agg((F.count("*") / 400).alias("freq")).withColumn("len", F.lit(13))
+    at = t.rec.where(F.length("cdr3") == 13).select(F.col("v").alias("cid"), F.posexplode(F.split("cdr3", "")).alias("pos", "aa")).groupBy("cid", "pos", "aa").agg((F.count("*") / 140).alias("freq")).withColumn("len", F.lit(13))
     return readers.cluster_motifs(at).select("cid", F.col("pos").cast("long").alias("pos"), "allowed")
 
 
