@@ -310,12 +310,50 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+SITE = "<body><div class='x1'><span>Shop</span> the best of {h}</div><div>story {i} of {h}, told at length</div><div class='x2'><div>read on</div><div>all rights {h}</div></div></body>"
+
+
+def test_html_templates_decide(spark):
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", SITE.replace("{i}", str(i)).replace("{h}", f"h{h}")) for h in range(3) for i in range(9)]
+    rows += [(900 + i, "http://few.org/", SITE.replace("{i}", str(i)).replace("{h}", "few")) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # brute force: of each host, block texts on five or more of its pages go
+    want = {}
+    for p, u, page in rows:
+        parts = re.findall(r">([^<>]+)(?=<)", page.replace("<span>", "").replace("</span>", ""))
+        own = [[re.findall(r">([^<>]+)(?=<)", y.replace("<span>", "").replace("</span>", "")) for _, v, y in rows if v.split("/")[2] == u.split("/")[2]]][0]
+        want[p] = " ".join(x for x in parts if sum(x in o for o in own) < 5)
+    on, off = ({r.page_id: r.text for r in html_text.extract(df, many=m).collect()} for m in (5, 10**9))
+    assert on == want and all(on[p] != off[p] for p in on if p < 900) and on[901] == off[901] != ""
+
+
+def test_html_keeps_all_articles_and_plain_marks():
+    def text_of(page):
+        root = html_text.parse(page)
+        html_text.digest(root)
+        return html_text.main_text(root)
+
+    assert text_of("<nav>n</nav><article><p>one</p></article><article><p>two</p></article><article class=comment>c</article>") == "one two"
+    assert text_of("<main><header class='entry-header'><h1>T</h1></header><div class='side-note'>kept</div><div class='comments'>gone</div><section id='related-work'>r</section></main>") == "T kept r"
+
+
+@pytest.mark.parametrize("unit", ["<script", "<a '", "<div>", "<ul><li>", "</p>", "<div></ul>", "<!--", "<p><b>x", "<td></li>", '<a b="', "&amp;<"])
+def test_html_long_hostile_pages_take_seconds(unit):
+    import time
+
+    start = time.time()
+    root = html_text.parse(unit * (1_500_000 // len(unit)))
+    html_text.digest(root)
+    html_text.main_text(root)
+    assert time.time() - start < 20
+
+
 def test_html_random_markup_never_fails():
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<b>", "<!-- c -->", "<script>x<y</script>", "&amp;", "&#x41;", " w ", "<li>", "</ul>", "<td>", "<br/>", "<", ">", '<a href="a>b">', "<img src='", "<title>", "</"]
     for _ in range(2000):
         root = html_text.parse("".join(random.choice(bits) for _ in range(12)))
         html_text.digest(root)
-        html_text.blocks(html_text.content_root(root), frozenset(), True)
+        html_text.main_text(root)
 
 
 URLS = ["http://www.example.com/en/712", "HTTP://EXAMPLE.com/en/8?x#y", "https://a.net/de/1", "https://example.net/de/8", "https://example.net/de/7", "ftp://x.org/es/", "http://x.org/esx", "none", None, "", "://", "http://Sub.spam-farm.example.org", "http://notspam-farm.example.org", "http://spam-farm.example.org?q", "http://com/en/", "http://a..com/en/x", "http://xcom/en/", "a://b://com/en/"]
