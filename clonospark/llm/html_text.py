@@ -210,35 +210,37 @@ def extract(pages: DataFrame, many: int = 5, share: float = 0.02, most_pages: fl
     all outermost article and main elements, else of the page, remains.
 
     Counting is a pre-aggregated group-by on (host, hash), so a host with a third of the pages is
-    no hot task; a page meets its own deletions by two hashes of host and html, so what a task that runs again
+    no hot task; a page meets its own deletions by its host and a hash of its html, so what a task that runs again
     reads decides nothing. A null or empty html gives an
     empty text; rows without host share the empty host; repeated rows come out as often as
     they go in; an empty table gives no rows; other columns are ignored.
     """
     host, _ = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.coalesce(html, F.lit("")).alias("_html"), host.alias("_host"))
-    rows = rows.select("*", F.xxhash64("_host", "_html").alias("_p"), F.xxhash64(F.lit(1), "_html", "_host").alias("_q"))
+    rows = rows.withColumn("_p", F.xxhash64("_html"))
+    since = shared.mark()
 
     def hashes(batches):
         for b in batches:
             out: list[tuple] = []
-            for p, q, at, page in zip(*(b.column(c).to_pylist() for c in ("_p", "_q", "_host", "_html")), strict=True):
+            for p, at, page in zip(*(b.column(c).to_pylist() for c in ("_p", "_host", "_html")), strict=True):
                 root = parse(page)
                 digest(root)
                 own, main = subtrees(root)
-                out += [(p, q, at, h, prose, main) for h, prose in own]
-                out.append((p, q, at, 0, False, main))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_p", "_q", "_host", "hash", "prose", "main"])
+                out += [(p, at, h, prose, main) for h, prose in own]
+                out.append((p, at, 0, False, main))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_p", "_host", "hash", "prose", "main"])
 
-    seen = shared.cut(rows.select("_p", "_q", "_host", "_html").mapInArrow(shared.trimmed(hashes), "_p long, _q long, _host string, hash long, prose boolean, main long"), "subtrees")
+    seen = shared.cut(rows.select("_p", "_host", "_html").mapInArrow(shared.trimmed(hashes), "_p long, _host string, hash long, prose boolean, main long"), "subtrees")
     # hash 0 stands for the page itself
     counted = seen.groupBy("_host", "hash", "main").agg(F.max("prose").alias("prose")).groupBy("_host", "hash").agg(F.count("*").alias("n"), F.max("prose").alias("prose"))
     whole = counted.where("hash = 0").select("_host", F.col("n").alias("pages"))
     enough = F.greatest(F.lit(many), F.ceil(F.col("pages") * F.when(F.col("prose"), F.lit(most_pages)).otherwise(F.lit(share))))
     templates = shared.cut(counted.where(F.col("n") >= many).where("hash <> 0").join(whole.hint("shuffle_hash"), "_host").where(F.col("n") >= enough).select("_host", "hash"), "templates")
-    deleted = seen.select("_p", "_q", "_host", "hash").distinct().join(templates.hint("shuffle_hash"), ["_host", "hash"]).groupBy("_p", "_q").agg(F.collect_set("hash").alias("_gone"))
+    deleted = shared.cut(seen.select("_p", "_host", "hash").join(templates.hint("shuffle_hash"), ["_host", "hash"]).groupBy("_host", "_p").agg(F.collect_set("hash").alias("_gone")), "deleted")
+    shared.release(pages.sparkSession, since, but=1)
 
     def texts(batches):
         for b in batches:
@@ -250,6 +252,6 @@ def extract(pages: DataFrame, many: int = 5, share: float = 0.02, most_pages: fl
                 out.append(main_text(root, frozenset(gone or ())))
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=[key, url, "text", "n_chars"])
 
-    both = rows.select("_key", "_url", "_html", "_p", "_q").join(deleted.hint("shuffle_hash"), ["_p", "_q"], "left")
+    both = rows.join(deleted.hint("shuffle_hash"), ["_host", "_p"], "left")
     schema = T.StructType([pages.schema[key], pages.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return both.select("_key", "_url", "_html", "_gone").mapInArrow(shared.trimmed(texts), schema)
