@@ -84,7 +84,8 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, tile: int = 2048) ->
     stretches of bits. Two fingerprints within the radius differ by at most the radius in
     the sum of those counts' differences, so every other pair of tiles is skipped, and
     neighbouring tiles meet in an equi-join. Tiles are cut into blocks of about ``tile``
-    fingerprints by hash, so a crowded tile spreads over many tasks. Two blocks are
+    fingerprints by hash. A pair of blocks is a row of its own, dealt by the block that it goes to (either one's, in turns), so the
+    pairs of a crowded tile spread over as many tasks as it has blocks. Two blocks are
     compared completely (exclusive or, bit count). A pair of blocks returns a spanning
     forest of its links, not the links: as many rows as it has fingerprints at most, and the same components.
     """
@@ -110,9 +111,17 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, tile: int = 2048) ->
             for d in ahead
         ]
     )
-    left = blocks.select("tile", F.col("block").alias("block_a"), F.col("fps").alias("a"), F.explode(steps).alias("step")).where("step is not null")
-    left = left.select((F.col("tile") + F.col("step")).cast("int").alias("tile"), "step", "block_a", "a")
-    pairs = left.join(blocks.withColumnRenamed("fps", "b"), "tile").where("step <> 0 or block_a <= block")
+    steps = F.filter(steps, lambda x: x.isNotNull())
+    # which blocks meet follows from the sizes alone; only then do their fingerprints travel, to existing blocks only
+    near_tiles = sizes.select("tile", "blocks", F.explode(steps).alias("step")).select(F.col("tile").alias("tile_a"), F.col("blocks").alias("blocks_a"), (F.col("tile") + F.col("step")).cast("int").alias("tile"), "step")
+    near_tiles = F.broadcast(near_tiles.join(F.broadcast(sizes), "tile").withColumnsRenamed({"tile": "tile_b", "blocks": "blocks_b"}))
+    n_pairs = near_tiles.agg(F.sum(F.when(F.col("step") == 0, F.col("blocks_a") * (F.col("blocks_a") + 1) / 2).otherwise(F.col("blocks_a").cast("double") * F.col("blocks_b")))).first()[0] or 0
+    tasks = int(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_pairs // 256, 100_000)))
+    i, j = F.col("block_a"), F.col("block")
+    mine = (F.col("step") != 0) | (i == j) | ((i < j) == ((i + j) % 2 == 0))
+    left = blocks.select(F.col("tile").alias("tile_a"), F.col("block").alias("block_a"), F.col("fps").alias("a")).join(near_tiles, "tile_a")
+    left = left.select(F.col("tile_b").alias("tile"), "step", "block_a", "a", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)).alias("block")).where(mine)
+    pairs = left.repartition(tasks, "tile", "block").join(blocks.withColumnRenamed("fps", "b").repartition(tasks, "tile", "block"), ["tile", "block"])
 
     def run(batches):
         for batch in batches:
