@@ -33,6 +33,10 @@ def test_fuzzy_join_equals_brute_force(spark, scope):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_fuzzy_join_with_more_edits(spark):
+    test_fuzzy_join_equals_brute_force(spark, "3,1,3")
+
+
 def test_scopes():
     assert parse_scope("2") == Budget(2, 0, 0, 2)
     assert parse_scope("2,3") == Budget(2, 3, 3, 3)
@@ -62,6 +66,33 @@ def test_poisson_tail(spark):
     assert r[0][0] == 1 and r[1][0] == pytest.approx(0.3233235838169365) and r[2][0] == 0 and 0.99 < r[3][0] < 1
 
 
+def test_poisson_tail_keeps_small_values(spark):
+    import math
+
+    rows = [(30, 0.1), (12, 1.5), (5, 4.99), (400, 200.0)]
+    got = spark.createDataFrame(rows, "k int, lam double").select(C.poisson_sf(F.col("k"), F.col("lam"))).collect()
+    for (k, lam), x in zip(rows, got, strict=True):
+        want = math.fsum(math.exp(-lam + i * math.log(lam) - math.lgamma(i + 1)) for i in range(k, k + 400))
+        assert x[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_calls_keep_loci_apart(spark):
+    rec = spark.createDataFrame([("TRA", "CASSAF", "E1"), ("TRB", "CASSAF", "E2")], "gene string, cdr3 string, epitope string")
+    q = spark.createDataFrame([("TRA", "CASSAF"), ("TRB", "CASSAF")], "locus string, cdr3 string")
+    e = spark.createDataFrame([("TRA", "CASSAF", 1.0), ("TRB", "CASSAF", 2.0)], "gene string, query_cdr3 string, E double")
+    assert {(r.gene, r.epitope, r.E) for r in annotate.best_call(annotate.hits(q, rec), e).collect()} == {("TRA", "E1", 1.0), ("TRB", "E2", 2.0)}
+
+
+def test_cli_matrix_changes_scores(spark, tmp_path):
+    from clonospark import cli
+
+    (tmp_path / "r.tsv").write_text("gene\tcdr3\tv\tj\tspecies\tepitope\nTRB\tCASSAF\tTRBV1*01\tJ1\tHomoSapiens\tE1\n")
+    (tmp_path / "s.tsv").write_text("junction_aa\tv_gene\tj_gene\nCASSDF\tTRBV1\tJ1\n")
+    assert cli.main(["match", str(tmp_path / "s.tsv"), "--records", str(tmp_path / "r.tsv"), "--out", str(tmp_path / "out"), "--matrix", "codon"]) == 0
+    got = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out/s/hits")).collect()
+    assert [r.score for r in got] == ["100"]
+
+
 def test_records_normalise_and_unpivot(spark):
     wide = spark.createDataFrame([("CAF", "CSF", "X"), (None, "CTF", "Y"), ("CGF", "", "Z")], "`cdr3.alpha` string, `cdr3.beta` string, `antigen.epitope` string")
     rows = readers.normalize(wide).collect()
