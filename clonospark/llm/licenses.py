@@ -62,8 +62,8 @@ def known(spark: SparkSession, texts: list[tuple[str, str]] = TEXTS, names: list
 def scan(docs: DataFrame, licenses: DataFrame | None = None, key: str = "doc_id", text: str = "text", most: int = 1 << 20) -> DataFrame:
     """(key, license, scope, n_found) for every text or line of text that is, whole, a known licence.
 
-    A document's entire text, each paragraph and each line that could hold a licence (it
-    names one of the words that all canonical entries share) are brought to canonical form, digested, and
+    A document's entire text, each paragraph and each line (with the built-in table only those that could hold a licence, as they
+    name one of the words that all its entries share) are brought to canonical form, digested, and
     hash-joined to the digests of the licence table. ``scope`` is the largest unit found: document, paragraph or line.
 
     The table is broadcast while it has ``most`` rows or fewer; a larger one joins by shuffle. A null or
@@ -74,7 +74,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, key: str = "doc_id"
     table = known(spark) if licenses is None else licenses
     t = F.coalesce(F.col(text), F.lit(""))
     worth = r"(?i)licen[sc]e|permission|copyright|released under|distributed under|published under|available under|provided under"
-    could = docs.where(t.rlike(worth)).select(F.col(key), t.alias("_t"))
+    could = (docs if licenses is not None else docs.where(t.rlike(worth))).select(F.col(key), t.alias("_t"))
     units = F.array_union(
         F.array_union(
             F.array(F.struct(F.lit(0).alias("scope"), F.col("_t").alias("unit"))),
@@ -82,7 +82,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, key: str = "doc_id"
         ),
         F.transform(F.split("_t", "\n"), lambda x: F.struct(F.lit(2).alias("scope"), x.alias("unit"))),
     )
-    exploded = could.select(key, F.explode(units).alias("u")).select(key, "u.scope", "u.unit").where(F.col("unit").rlike(worth))
+    exploded = could.select(key, F.explode(units).alias("u")).select(key, "u.scope", "u.unit").where(F.col("unit").rlike(worth if licenses is None else r"\S"))
     digests = exploded.select(key, "scope", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
     side = F.broadcast(table) if licenses is None or table.count() <= most else table
     found = digests.join(side, "digest").groupBy(key, "license").agg(F.min("scope").alias("scope"), F.sum((F.col("scope") == 2).cast("long")).alias("n_found"))

@@ -388,6 +388,14 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_a_callers_table(spark):
+    own = "Do as you like with these words.\n\nBut keep this note."
+    table = licenses.known(spark, [("Own-1.0", own)], [("None", ["none at all"])])
+    rows = [(1, own.upper()), (2, "x\n\nDo as you like with these words."), (3, "DO as you like, with these words!\n\nBut keep this note"), (4, None)]
+    got = {(r.doc_id, r.license, r.scope) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert got == {(1, "Own-1.0", "document"), (3, "Own-1.0", "document")}
+
+
 def test_best_bounds_equals_brute_force():
     from itertools import combinations
 
