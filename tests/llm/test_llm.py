@@ -435,6 +435,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert out == {r.doc_id for r in now.collect()} and {x[0] for x in clean} <= out
 
 
+def test_stages_keep_clashing_columns_and_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["_id", "_h", "none", "h", "bare", "key", "n", "id", "_rest", "_text", "n_words", "_words", "in0", "item_id", "component", "kept"]
+    body = "the " + text(60)
+    rows = [(1, body), (1, "and " + text(50)), (1, body), (None, "of " + text(40)), (7, body + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(f"mine {n}") for n in names})
+    for some in (df, df.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, some, str(tmp_path))
+            assert out.columns == df.columns
+            got = out.collect()
+            assert all(r[n] == f"mine {n}" for r in got for n in names)
+            if stage is corpus_pipeline.near_dedup and some is df:
+                assert sorted((r.doc_id or 0, r.text) for r in got) == sorted({(i or 0, x) for i, x in rows[:4]})
+            assert some is df or not got
+
+
 def test_near_dedup_stage_keeps_the_least(spark, docs):
     import corpus_pipeline
 
