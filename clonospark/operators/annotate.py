@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import matrices
 from ..schema import HIT_COLUMNS, QUERY_TYPES, RECORD_TYPES
+from ..ship import cut
 from .fuzzy import Budget, align_column, fuzzy_join, parse_scope
 
 
@@ -162,19 +163,13 @@ def overlap_metrics(pairs: DataFrame, n_a: int, n_b: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): least node of each component, by repeated hooking of neighbours to the least one and
     pointer jumping; each round is checkpointed, so lineage stays short and lost executors cost one round."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).checkpoint()
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
+    both = cut(both)
+    label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
     while True:
         seen = both.join(label.select(F.col("u").alias("v"), F.col("l")), "v").groupBy("u").agg(F.min("l").alias("m"))
         hooked = label.join(seen, "u").select("u", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        jump = hooked.join(label.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", F.least(F.col("l"), F.coalesce("up", "l")).alias("l"), "old").checkpoint()
+        jump = cut(hooked.join(label.select(F.col("u").alias("l"), F.col("l").alias("up")), "l", "left").select("u", F.least(F.col("l"), F.coalesce("up", "l")).alias("l"), "old"))
         if not jump.where("l <> old").limit(1).count():
             return jump.select(F.col("u").alias("node"), F.col("l").alias("root"))
         label = jump.select("u", "l")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -101,6 +102,37 @@ def align_column(df: DataFrame, a: str, b: str, budget: Budget) -> DataFrame:
     return df.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, ops string")
 
 
+def _settled(cost: int, longer: int, g: Budget) -> bool:
+    """Whether every alignment of ``cost`` edits is within the budget, for strings whose lengths differ by ``longer``."""
+    return (cost + longer) // 2 <= g.ins and (cost - longer) // 2 <= g.dels and cost - abs(longer) <= g.subs
+
+
+def cost_column(df: DataFrame, a: str, b: str, budget: Budget) -> DataFrame:
+    """``df`` with ``cost``, the edits of the cheapest alignment; rows without one within the budget go.
+
+    The edit distance is the cost wherever the budget holds all alignments that cheap; only the other rows are aligned.
+    """
+    df = df.withColumn("cost", F.levenshtein(a, b, budget.total)).where("cost >= 0")
+    shifts = range(-min(budget.dels, budget.total), min(budget.ins, budget.total) + 1)
+    if all(_settled(c, x, budget) for x in shifts for c in range(abs(x), budget.total + 1)):
+        return df
+    ship(df.sparkSession)
+
+    def one(x: str, y: str, cost: int) -> int | None:
+        if _settled(cost, len(x) - len(y), budget):
+            return cost
+        ops = align(x, y, budget)
+        return None if ops is None else len(ops) - ops.count("M")
+
+    def run(batches):
+        for batch in batches:
+            cost = [one(*row) for row in zip(*(batch.column(c).to_pylist() for c in (a, b, "cost")), strict=True)]
+            out = batch.set_column(batch.schema.get_field_index("cost"), "cost", pa.array(cost, pa.int32()))
+            yield out.filter(pa.array([x is not None for x in cost]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _masks(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.struct(i.alias("at"), F.concat(F.substr(s, F.lit(1), i - 1), F.lit("_"), F.substr(s, i + 1)).alias("key")))
 
@@ -122,6 +154,34 @@ def _segments(length: Column, parts: int) -> Column:
     return F.array(*[piece(p) for p in range(parts)])
 
 
+def _cuts(strings: DataFrame, keys: Sequence[str], parts: int, sample: int = 2000, longest: int = 64) -> dict[int, list[tuple[int, int]]]:
+    """Per length the start and width of the ``parts`` stretches that fewest pairs of strings ``b`` share.
+
+    Ends that are alike in most strings come out in one stretch with residues that differ. Any stretches give the same
+    join, so what is shared is counted in a bounded sample, the ``sample`` strings of least hash; lengths without one aren't listed.
+    """
+    rows = strings.select(*keys, "b").where(F.length("b").between(parts, longest)).orderBy(F.xxhash64("b"), "b").limit(sample).collect()
+    groups: dict[int, list[tuple]] = {}
+    for *key, b in rows:
+        groups.setdefault(len(b), []).append((tuple(key), b))
+    out = {}
+    for n, members in groups.items():
+        shared = {(i, j): sum(c * c for c in Counter((k, b[i:j]) for k, b in members).values()) for i in range(n) for j in range(i + 1, n + 1)}
+        best: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, (0,))}
+        for p in range(1, parts + 1):
+            best = {j: min((cost + shared[i, j], (*ends, j)) for i, (cost, ends) in best.items() if i < j) for j in range(p, n - parts + p + 1)}
+        ends = best[n][1]
+        out[n] = [(i, j - i) for i, j in zip(ends, ends[1:], strict=False)]
+    return out
+
+
+def _stretches(df: DataFrame, cuts: dict[int, list[tuple[int, int]]], parts: int) -> DataFrame:
+    """``df`` with at, start and width of every stretch of length ``n``: the given ones, else nearly equal ones."""
+    table = df.sparkSession.createDataFrame([(n, [(p, *x) for p, x in enumerate(c)]) for n, c in cuts.items()], "n int, cuts array<struct<at:int,start:int,width:int>>")
+    whole = df.join(F.broadcast(table), "n", "left")
+    return whole.select(*df.columns, F.inline(F.coalesce("cuts", _segments(F.col("n"), parts))))
+
+
 def _deletions(s: Column, most: int) -> Column:
     """What is left of a string after up to ``most`` deletions."""
     layer = out = F.array(s)
@@ -132,8 +192,20 @@ def _deletions(s: Column, most: int) -> Column:
     return out
 
 
-def fuzzy_join(queries: DataFrame, targets: DataFrame, scope: str | Budget = "1", keys: Sequence[str] = (), a: str = "cdr3", b: str = "cdr3") -> DataFrame:
-    """Distinct pairs (keys, a, b, n_subs, n_ins, n_dels, cost) within the budget.
+def meeting(left: DataFrame, right: DataFrame, g: Budget, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, at, key, a, b) of strings that share a stretch of the target, within the shift that indels allow."""
+    ins, dels, parts = min(g.ins, g.total), min(g.dels, g.total), g.total + 1
+    cuts = _cuts(right, keys, parts)
+    y = _stretches(right.select(*keys, "b", F.length("b").alias("n")), cuts, parts).select(*keys, "b", "n", "at", F.expr("substr(b, start + 1, width)").alias("key"))
+    x = left.select(*keys, "a", F.explode(F.sequence(F.greatest(F.length("a") - ins, F.lit(0)), F.length("a") + dels)).alias("n"))
+    x = _stretches(x, cuts, parts)
+    x = x.select(*keys, "a", "n", "at", "width", F.explode(F.sequence(F.greatest(F.col("start") - dels, F.lit(0)), F.col("start") + ins)).alias("from"))
+    x = x.where("from + width <= length(a)").select(*keys, "a", "n", "at", F.expr("substr(a, from + 1, width)").alias("key"))
+    return x.join(y, [*keys, "n", "at", "key"])
+
+
+def fuzzy_join(queries: DataFrame, targets: DataFrame, scope: str | Budget = "1", keys: Sequence[str] = (), a: str = "cdr3", b: str = "cdr3", costs: bool = False) -> DataFrame:
+    """Distinct pairs (keys, a, b, n_subs, n_ins, n_dels, cost) within the budget; with ``costs`` only (keys, a, b, cost), which mostly needs no alignment.
 
     Distinct strings are matched; callers join wide rows back afterwards. No plan is a nested loop:
     equality for budget 0; one-residue masks for one substitution (exact, no duplicates); for k
@@ -141,13 +213,13 @@ def fuzzy_join(queries: DataFrame, targets: DataFrame, scope: str | Budget = "1"
     its first agreeing part only, so nothing needs to be deduplicated; with indels and one or two edits, what two strings are
     after as many deletions must be equal somewhere, and such keys hold nearly whole strings, so germline ends alike in all make none hot; with more edits, one of total + 1
     stretches of the target must stand in the query within the shift that the budget
-    allows. Both are verified by bounded edit distance and then by an alignment that counts each kind of edit. ``keys`` join too.
+    allows, and the stretches are cut where the targets differ. Both are verified by bounded edit distance and then by an alignment that counts each kind of edit. ``keys`` join too.
     """
     g = parse_scope(scope)
     left = queries.select(*keys, F.col(a).alias("a")).where("a is not null").distinct()
     right = targets.select(*keys, F.col(b).alias("b")).where("b is not null").distinct()
     subs = min(g.subs, g.total)
-    ints = lambda df, n_subs: df.select(*keys, "a", "b", n_subs.cast("int").alias("n_subs"), F.lit(0).alias("n_ins"), F.lit(0).alias("n_dels"), n_subs.cast("int").alias("cost"))
+    ints = lambda df, n_subs: df.select(*keys, "a", "b", n_subs.cast("int").alias("cost")) if costs else df.select(*keys, "a", "b", n_subs.cast("int").alias("n_subs"), F.lit(0).alias("n_ins"), F.lit(0).alias("n_dels"), n_subs.cast("int").alias("cost"))
     if g.total == 0 or (subs == 0 and not (g.ins or g.dels)):
         both = left.withColumn("b", F.col("a")).join(right, [*keys, "b"])
         return ints(both, F.lit(0))
@@ -163,19 +235,16 @@ def fuzzy_join(queries: DataFrame, targets: DataFrame, scope: str | Budget = "1"
         both = x.join(y, [*keys, "n", "at", "key"]).withColumn("off", F.when(F.col("n") > 0, C.mismatches(F.col("a"), F.col("b"))).otherwise(F.array().cast("array<int>")))
         first = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(parts - 1)), F.transform("off", lambda i: i % parts)))
         return ints(both.where((F.size("off") <= subs) & (F.col("at") == first)), F.size("off"))
-    ins, dels, parts = min(g.ins, g.total), min(g.dels, g.total), g.total + 1
+    ins, dels = min(g.ins, g.total), min(g.dels, g.total)
     if g.total <= 2:
         x = left.select(*keys, "a", F.explode(_deletions(F.col("a"), min(g.total, g.subs + ins))).alias("key"))
         y = right.select(*keys, "b", F.explode(_deletions(F.col("b"), min(g.total, g.subs + dels))).alias("key"))
         fits = F.length("a") - F.length("b")
         near = x.join(y, [*keys, "key"]).where((fits <= ins) & (fits >= -dels)).select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b", g.total) >= 0)
     else:
-        y = right.select(*keys, "b", F.length("b").alias("n"), F.inline(_segments(F.length("b"), parts))).withColumn("key", F.expr("substr(b, start + 1, width)")).drop("start", "width")
-        x = left.select(*keys, "a", F.explode(F.sequence(F.greatest(F.length("a") - ins, F.lit(0)), F.length("a") + dels)).alias("n"))
-        x = x.select(*keys, "a", "n", F.inline(_segments(F.col("n"), parts)))
-        x = x.select(*keys, "a", "n", "at", "width", F.explode(F.sequence(F.greatest(F.col("start") - dels, F.lit(0)), F.greatest(F.col("start") + ins, F.lit(0)))).alias("from"))
-        x = x.where("from + width <= length(a)").select(*keys, "a", "n", "at", F.expr("substr(a, from + 1, width)").alias("key")).distinct()
-        near = x.join(y, [*keys, "n", "at", "key"]).select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b", g.total) >= 0)
+        near = meeting(left, right, g, keys).select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b", g.total) >= 0)
+    if costs:
+        return cost_column(near, "a", "b", g)
     done = align_column(near, "a", "b", g)
     n = {k: C.op_count(F.col("ops"), op).cast("int") for k, op in (("n_subs", "S"), ("n_ins", "I"), ("n_dels", "D"))}
     return done.select(*keys, "a", "b", *[v.alias(k) for k, v in n.items()], (n["n_subs"] + n["n_ins"] + n["n_dels"]).alias("cost"))

@@ -112,6 +112,11 @@ def lev_join(t):
     return fuzzy_join(t.qry, _targets(t), "2,2", ["locus"]).select("locus", "a", "b")
 
 
+@query("select locus, a, b, cast(levenshtein(a, b) as int) as cost from (select distinct locus, cdr3 as a from qry) q join (select distinct gene, cdr3 as b from rec) r on locus = gene and levenshtein(a, b) <= 3")
+def lev3_join(t):
+    return fuzzy_join(t.qry, _targets(t), "3,3", ["locus"]).select("locus", "a", "b", "cost")
+
+
 @query(f"select q_id, rec_id, cast(hamming(q.cdr3, r.cdr3) as int) as n_subs from qry q join rec r on locus = gene and {NEAR.format(a='q.cdr3', b='r.cdr3', k=1)} and {FAM.format('q.v')} = {FAM.format('r.v')}")
 def hamming1_match_v(t):
     q, r = t.qry.withColumn("fam", C.gene_family(F.col("v"))), _targets(t).withColumn("fam", C.gene_family(F.col("v")))
@@ -198,12 +203,12 @@ def evalue_fixed(t):
     return out.select("locus", "query_cdr3", "n_target", "n_control", F.round("E", 6).alias("e"), F.round("p_enrichment", 6).alias("p"))
 
 
-def _first_sql(keys: str, q: str, tt: str, c: str) -> str:
+def _first_sql(keys: str, q: str, tt: str, c: str, within: str = "length(a) = length(b) and hamming(a, b) between 1 and 2", d: str = "hamming") -> str:
     on = " and ".join(f"q.{k} = z.{k}" for k in keys.split(", "))
-    near = f"length(a) = length(b) and hamming(a, b) between 1 and 2 and {on}"
+    near = f"{within} and {on}"
     return f"""with n as (select gene as locus, count(distinct cdr3) as N from rec group by 1), m as (select locus, count(distinct cdr3) as M from ctl group by 1),
   q as (select distinct {q}, cdr3 as a from qry), t as (select distinct {tt}, cdr3 as b from rec), c as (select distinct {c}, cdr3 as b from ctl),
-  th as (select {', '.join('q.' + k for k in keys.split(', '))}, a, hamming(a, b) as d from q join t z on {near}), ch as (select {', '.join('q.' + k for k in keys.split(', '))}, a, hamming(a, b) as d from q join c z on {near}),
+  th as (select {', '.join('q.' + k for k in keys.split(', '))}, a, {d}(a, b) as d from q join t z on {near}), ch as (select {', '.join('q.' + k for k in keys.split(', '))}, a, {d}(a, b) as d from q join c z on {near}),
   r as (select {keys}, a, min(d) as radius from th group by all), nt as (select {keys}, a, radius, count(*) as k from th join r using ({keys}, a) where d <= radius group by all),
   nc as (select {keys}, a, count(*) as k from ch join r using ({keys}, a) where d <= radius group by all),
   y as (select {keys}, a, radius, coalesce(nt.k, 0) as n_target, coalesce(nc.k, 0) as n_control, case when radius is null then 0.0 else greatest(coalesce(nc.k, 0), 3) * N / M end as E from q left join nt using ({keys}, a) left join nc using ({keys}, a) join n using (locus) join m using (locus))
@@ -216,6 +221,18 @@ def evalue_first_hit(t):
     return out.select("locus", "query_cdr3", "radius", "n_target", "n_control", F.round("E", 6).alias("e"), F.round("p", 6).alias("p"))
 
 
+@query(_first_sql("locus", "locus", "gene as locus", "locus", "abs(length(a) - length(b)) <= 2 and levenshtein(a, b) between 1 and 3", "levenshtein"))
+def evalue_first_hit_indels(t):
+    out = evalue.first_hit(t.qry, t.rec, t.ctl, "3,2,2,3")
+    return out.select("locus", "query_cdr3", "radius", "n_target", "n_control", F.round("E", 6).alias("e"), F.round("p", 6).alias("p"))
+
+
+@query()
+def evalue_first_hit_wide(t):
+    out = evalue.first_hit(t.qry, t.rec, t.ctl)
+    return out.select("locus", "query_cdr3", "radius", "n_target", "n_control", "top_epitope", F.round("E", 6).alias("e"), F.round("p", 6).alias("p"))
+
+
 _CV = "concat('TRBV', cast(length(cdr3) % 7 as string))"
 
 
@@ -270,10 +287,16 @@ def paired_joint(t):
 )
 def paired_first_hit(t):
     ctl = lambda g: t.ctl.where(F.col("locus") == g)
-    out = evalue.paired_first_hit(_cells(t), evalue.complexes(t.rec), ctl("TRA"), ctl("TRB"))
+    out = evalue.paired_first_hit(_cells(t), evalue.complexes(t.rec), ctl("TRA"), ctl("TRB"), "2")
     return out.select("pair_id", "radius", "n_target", "n_control_a", "n_control_b")
 
 
+@query()
+def paired_first_hit_wide(t):
+    ctl = lambda g: t.ctl.where(F.col("locus") == g)
+    return evalue.paired_first_hit(_cells(t), evalue.complexes(t.rec), ctl("TRA"), ctl("TRB")).select("pair_id", "radius", "n_target", "n_control_a", "n_control_b", F.round("E", 6).alias("e"), F.round("p", 6).alias("p"))
+
+
 # ---- overlaps, components
 
 

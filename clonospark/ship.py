@@ -1,12 +1,13 @@
-"""Send this package to the executors' Python workers."""
+"""Send this package to the executors' Python workers, and cut lineage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -26,3 +27,13 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(home.rglob("*.py")):
             z.write(p, p.relative_to(home.parent))
     sc.addPyFile(str(target))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder of the session and read from there; a local session without one gets its own."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint()
