@@ -12,7 +12,7 @@ from ..functions import matrices
 from ..operators import annotate, evalue, mass, precursor, studies
 from ..operators.fuzzy import fuzzy_join
 from ..sources import readers
-from . import analytics, holdout  # noqa: F401  register their queries
+from . import analytics, arms, holdout  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES, Tables, query
 
 FAM = "regexp_replace(regexp_replace({0}, '\\*.*$', ''), '/DV.*$', '')"
