@@ -388,6 +388,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_whole_licenses_inside_longer_texts(spark):
+    code = "def f(x):\n    return x\n\nmain()"
+    wrap = lambda t: "\n\n".join("\n".join(" ".join(p.split()[i : i + 9]) for i in range(0, len(p.split()), 9)) for p in t.split("\n\n"))
+    rows, want = [], {}
+    for i, (name, body) in enumerate(licenses.TEXTS):
+        rows += [(10 * i, f"{code}\n\nCopyright 2021 The Authors\n\n{wrap(body)}\n\n{code}"), (10 * i + 1, wrap(body).replace("\n\n", "\n\nCopyright (c) 2020 Some One\n\n", 1))]
+        want |= {10 * i: name, 10 * i + 1: name}
+        if "\n\n" in body:
+            rows.append((10 * i + 2, f"{code}\n\n{body.rsplit(chr(10) * 2, 1)[0]}\n\nother words\n\n{body.rsplit(chr(10) * 2, 1)[1]}"))
+    rows += [(900, "Released under the MIT license.\nx\nReleased under the MIT license."), (901, f"{licenses.TEXTS[0][1]}\n\n{code}\n\n{licenses.TEXTS[0][1]}")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got if r.doc_id < 900} == want
+    assert {(r.doc_id, r.license, r.scope, r.n_found) for r in got if r.doc_id >= 900} == {(900, "MIT", "line", 2), (901, "MIT", "paragraph", 2)}
+
+
 def test_licenses_of_a_callers_table(spark):
     own = "Do as you like with these words.\n\nBut keep this note."
     table = licenses.known(spark, [("Own-1.0", own)], [("None", ["none at all"])])
