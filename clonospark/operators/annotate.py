@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import warnings
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -85,6 +89,17 @@ class Annotator:
 
         return cls(load_records(spark, path), species)
 
+    @classmethod
+    def latest(cls, spark: SparkSession, species: str | None = None, cache: str | None = None) -> Annotator:
+        """Over the release in the cache folder whose name sorts last."""
+        from ..sources.readers import cache_dir
+
+        home = cache_dir(cache)
+        files = sorted(p.name for p in home.iterdir() if p.is_file()) if home.is_dir() else []
+        if not files:
+            raise FileNotFoundError(f"no release in {home}: copy one there first")
+        return cls.from_path(spark, str(home / files[-1]), species)
+
     def loci(self) -> list[str]:
         return sorted(r[0] for r in self.records.select("gene").where("gene is not null").distinct().collect())
 
@@ -110,18 +125,29 @@ class Annotator:
         return out.withColumns({"epitope": F.when(F.col("a_epitope") == F.col("b_epitope"), F.col("a_epitope")), "weight": both("weight"), "n_hits": both("n_hits")})
 
 
-def epitope_summary(h: DataFrame) -> DataFrame:
-    """Per epitope: distinct query CDR3s, their reads (one count per CDR3, the least), hits, best score."""
-    one = h.groupBy("epitope", "mhc_class", "antigen_species", "query_cdr3").agg(F.min("count").alias("count"), F.count("*").alias("n"), F.min("score").alias("score"))
-    return one.groupBy("epitope", "mhc_class", "antigen_species").agg(F.count("*").alias("unique"), F.sum("count").alias("reads"), F.sum("n").alias("n_hits"), F.min("score").alias("best_score"))
+@functools.cache
+def _latest(application: str, spark: SparkSession, species: str | None, cache: str | None) -> Annotator:
+    return Annotator.latest(spark, species, cache)
+
 
+def annotate(df: DataFrame, species: str | None = None, cache: str | None = None, **more) -> DataFrame:
+    """``Annotator.annotate`` against the latest release in the cache folder, read once per application."""
+    spark = df.sparkSession
+    return _latest(spark.sparkContext.applicationId, spark, species, cache).annotate(df, **more)
 
-def best_call(h: DataFrame, evalues: DataFrame | None = None) -> DataFrame:
-    """Per query, in each locus, the epitope with most hits, then the highest record score, then the least alignment score.
+
+def epitope_summary(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per epitope (and ``by``): distinct query CDR3s, their reads (one count per CDR3, the least), hits, best score."""
+    one = h.groupBy(*by, "epitope", "mhc_class", "antigen_species", "query_cdr3").agg(F.min("count").alias("count"), F.count("*").alias("n"), F.min("score").alias("score"))
+    return one.groupBy(*by, "epitope", "mhc_class", "antigen_species").agg(F.count("*").alias("unique"), F.sum("count").alias("reads"), F.sum("n").alias("n_hits"), F.min("score").alias("best_score"))
+
+
+def best_call(h: DataFrame, evalues: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Per query (and ``by``), in each locus, the epitope with most hits, then the highest record score, then the least alignment score.
 
     ``evalues`` are joined by CDR3, and by locus (``gene``) where they have it.
     """
-    keys = ["gene", "query_cdr3"]
+    keys = [*by, "gene", "query_cdr3"]
     per = h.groupBy(*keys, "epitope").agg(F.count("*").alias("support"), F.max("vdjdb_score").alias("vdjdb_score"), F.min("score").alias("score"), F.min("mhc_class").alias("mhc_class"))
     order = F.struct((-F.col("support")).alias("s"), (-F.coalesce("vdjdb_score", F.lit(-1))).alias("v"), "score", "epitope")
     best = per.groupBy(*keys).agg(F.min_by(F.struct("epitope", "support", "vdjdb_score", "score", "mhc_class"), order).alias("x")).select(*keys, "x.*")
@@ -138,13 +164,26 @@ def replicated(records: DataFrame, least: int = 2) -> DataFrame:
     return records.select(*keys, "mhc_class").join(good, keys).distinct()
 
 
-def annotate_samples(samples: DataFrame, records: DataFrame, controls: DataFrame | None = None, scope: str | Budget = "1") -> dict[str, DataFrame]:
-    """Hits, calls and summary of all samples in one job each; a locus without control has no E-value."""
+def annotate_samples(samples: DataFrame, records: DataFrame, controls: DataFrame | None = None, scope: str | Budget = "1", sample: str = "sample", **more) -> dict[str, DataFrame]:
+    """Hits, calls and summary of all samples at once, each row with its ``sample``; what several samples hold is matched once.
+
+    Loci that the control lacks are named in a warning and get no E-value. ``more`` goes to ``hits``. Without a ``sample`` column all rows are one sample, null.
+    """
     from .evalue import fixed_ball
 
-    h = hits(samples, records, scope)
-    e = fixed_ball(samples, records, controls, scope).select(F.col("locus").alias("gene"), "query_cdr3", "E", "p_enrichment") if controls is not None else None
-    return {"hits": h, "calls": best_call(h, e), "summary": epitope_summary(h)}
+    rows = _complete(samples if sample in samples.columns else samples.withColumn(sample, F.lit(None).cast("string")), QUERY_TYPES)
+    strings = ["cdr3", "v", "j", "locus"]
+    h = hits(rows.select(*strings).distinct(), records, scope, **more).drop("count")
+    names = {"cdr3": "query_cdr3", "v": "query_v", "j": "query_j", "locus": "gene"}
+    own = rows.select(sample, "count", *[F.col(c).alias(f"_{n}") for c, n in names.items()])
+    h = h.join(own, functools.reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names.values()])).select(sample, *[c for c in HIT_COLUMNS], *[c for c in h.columns if c not in HIT_COLUMNS])
+    e = None
+    if controls is not None:
+        e = fixed_ball(rows, records, controls, scope).select(F.col("locus").alias("gene"), "query_cdr3", "E", "p_enrichment")
+        bare = [r[0] for r in records.select("gene").distinct().join(rows.select(F.col("locus").alias("gene")).distinct(), "gene", "left_semi").join(controls.select(F.col("locus").alias("gene")).distinct(), "gene", "left_anti").collect()]
+        if bare:
+            warnings.warn(f"no E-value without control: {', '.join(sorted(bare))}", stacklevel=2)
+    return {"hits": h, "calls": best_call(h, e, [sample]), "summary": epitope_summary(h, [sample])}
 
 
 def overlap(a: DataFrame, b: DataFrame | None = None, scope: str | Budget = "1", idx: str = "idx") -> DataFrame:

@@ -297,6 +297,22 @@ def paired_first_hit_wide(t):
     return evalue.paired_first_hit(_cells(t), evalue.complexes(t.rec), ctl("TRA"), ctl("TRB")).select("pair_id", "radius", "n_target", "n_control_a", "n_control_b", F.round("E", 6).alias("e"), F.round("p", 6).alias("p"))
 
 
+@query(f"""with h as (select concat('S', cast(q_id % 3 as varchar)) as sample, gene, q.cdr3 as a, epitope, vdjdb_score as s, hamming(q.cdr3, r.cdr3) as d from qry q join rec r on locus = gene and {NEAR.format(a='q.cdr3', b='r.cdr3', k=1)}),
+  p as (select sample, gene, a, epitope, count(*) as support, max(s) as s, min(d) as d from h group by all), o as (select *, row_number() over (partition by sample, gene, a order by support desc, coalesce(s, -1) desc, d, epitope) as r from p)
+  select sample, gene, a as query_cdr3, epitope, support from o where r = 1""")
+def sample_calls(t):
+    samples = t.qry.withColumn("sample", F.expr("concat('S', q_id % 3)"))
+    return annotate.annotate_samples(samples, t.rec, t.ctl)["calls"].select("sample", "gene", "query_cdr3", "epitope", "support")
+
+
+@query(f"""with h as (select concat('S', cast(q_id % 3 as varchar)) as sample, q.cdr3 as a, q.count as c, epitope, mhc_class, antigen_species, hamming(q.cdr3, r.cdr3) as d from qry q join rec r on locus = gene and {NEAR.format(a='q.cdr3', b='r.cdr3', k=1)}),
+  o as (select sample, epitope, mhc_class, antigen_species, a, min(c) as c, count(*) as n, min(d) as d from h group by all)
+  select sample, epitope, mhc_class, antigen_species, count(*) as "unique", cast(sum(c) as bigint) as reads, cast(sum(n) as bigint) as n_hits, cast(min(d) as int) as best_score from o group by all""")
+def sample_summary(t):
+    samples = t.qry.withColumn("sample", F.expr("concat('S', q_id % 3)"))
+    return annotate.annotate_samples(samples, t.rec)["summary"]
+
+
 # ---- overlaps, components
 
 
