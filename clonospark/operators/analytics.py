@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .fuzzy import fuzzy_join
+from .ranks import prefix_sums, value_ranges
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
 #: Kyte-Doolittle hydropathy (fixed values).
@@ -175,9 +176,10 @@ def outcome_buckets(calls: DataFrame, truth: str = "truth", ours: str = "ours",
 def percentile_rank(df: DataFrame, score: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rank from 0 to 1 (highest score), ties sharing their mean; a group of one row has 1. Ranks come from counts per distinct score."""
     per = df.groupBy(*keep, score).agg(F.count("*").alias("_k"))
-    run = Window.partitionBy(*keep).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_k").over(Window.partitionBy(*keep))
-    ranks = per.select(*keep, score, F.when(total > 1, (F.sum("_k").over(run) - F.col("_k") + (F.col("_k") - 1) / 2) / (total - 1)).otherwise(1.0).alias("pct"))
+    run = prefix_sums(per, keep, value_ranges(df, score), [F.asc(score)], {"_c": F.col("_k")})
+    all_ = df.groupBy(*keep).agg(F.count("*").alias("_all"))
+    run = run.join(all_, list(keep)) if keep else run.join(F.broadcast(all_), F.lit(True))
+    ranks = run.select(*keep, score, F.when(F.col("_all") > 1, (F.col("_c") - F.col("_k") + (F.col("_k") - 1) / 2) / (F.col("_all") - 1)).otherwise(1.0).alias("pct"))
     return df.join(ranks, [*keep, score])
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .fuzzy import fuzzy_join
+from .ranks import prefix_sums, value_ranges
 
 
 def spectratype(records: DataFrame) -> DataFrame:
@@ -98,8 +102,9 @@ def residue_profile(records: DataFrame, aa: str = "G", bins: int = 5) -> DataFra
 
 def rarefaction(records: DataFrame, depths: list[int], seed: int = 0) -> DataFrame:
     """Distinct CDR3s among the first d records in hash order, per depth: each record's rank, each CDR3's first rank."""
-    w = Window.partitionBy("gene").orderBy(F.xxhash64("rec_id", F.lit(seed)), "rec_id")
-    first = records.withColumn("r", F.row_number().over(w)).groupBy("gene", "cdr3").agg(F.min("r").alias("r"))
+    x = records.select("gene", "cdr3", "rec_id", F.xxhash64("rec_id", F.lit(seed)).alias("_h"))
+    ranked = prefix_sums(x, ["gene"], F.shiftright("_h", 56), [F.asc("_h"), F.asc("rec_id")], {"r": F.lit(1)})
+    first = ranked.groupBy("gene", "cdr3").agg(F.min("r").alias("r"))
     return first.groupBy("gene").agg(*[F.count_if(F.col("r") <= d).alias(f"d{d}") for d in depths])
 
 
@@ -119,22 +124,26 @@ def semi(df: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(keep.select(*keys).distinct(), keys, "left_semi")
 
 
+def _curve(df: DataFrame, score: str, label: str, keep: Sequence[str]) -> DataFrame:
+    per = df.groupBy(*keep, score).agg(F.sum(F.col(label).cast("int")).alias("n_p"), F.sum(1 - F.col(label).cast("int")).alias("n_n"))
+    run = prefix_sums(per, keep, value_ranges(df, score), [F.desc(score)], {"TP": F.col("n_p"), "FP": F.col("n_n")}, descending=True)
+    total = df.groupBy(*[F.col(k).alias(f"_a_{k}") for k in keep]).agg(F.sum(F.col(label).cast("int")).alias("P"), F.sum(1 - F.col(label).cast("int")).alias("N"))
+    return run.join(total, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_a_{k}")) for k in keep]) if keep else F.lit(True))
+
+
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct score, from the highest: cumulative true and false positives, with the totals. Rows are one per score, so ranks don't depend on row order."""
-    per = df.groupBy(*keep, score).agg(F.sum(F.col(label).cast("int")).alias("tp"), F.sum(1 - F.col(label).cast("int")).alias("fp"))
-    w = Window.partitionBy(*keep).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*keep)
-    return per.select(*keep, score, F.sum("tp").over(w).alias("TP"), F.sum("fp").over(w).alias("FP"), F.sum("tp").over(all_).alias("P"), F.sum("fp").over(all_).alias("N"))
+    return _curve(df, score, label, keep).select(*keep, score, "TP", "FP", "P", "N")
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
     """ROC-AUC (ties count half), PR-AUC (trapezoids) plain and at equal classes, best F1 at equal classes. Groups that lack a class have no row."""
-    c = roc_curve(df, score, label, keep).where("P > 0 and N > 0")
-    w = Window.partitionBy(*keep).orderBy(F.desc(score))
-    tpr, fpr = F.col("TP") / F.col("P"), F.col("FP") / F.col("N")
-    c = c.withColumns({"r": tpr, "f": fpr, "pr": F.col("TP") / (F.col("TP") + F.col("FP")), "pb": tpr / (tpr + fpr)})
-    lag = lambda x, d: F.coalesce(F.lag(x).over(w), d)
-    c = c.withColumns({"r0": lag("r", F.lit(0.0)), "f0": lag("f", F.lit(0.0)), "p0": lag("pr", F.col("pr")), "b0": lag("pb", F.col("pb"))})
+    c = _curve(df, score, label, keep).where("P > 0 and N > 0")
+    # the point before is this one less its own rows; before the first there is none, and precision stays level
+    tp0, fp0 = F.col("TP") - F.col("n_p"), F.col("FP") - F.col("n_n")
+    c = c.withColumns({"r": F.col("TP") / F.col("P"), "f": F.col("FP") / F.col("N"), "r0": tp0 / F.col("P"), "f0": fp0 / F.col("N")})
+    c = c.withColumns({"pr": F.col("TP") / (F.col("TP") + F.col("FP")), "pb": F.col("r") / (F.col("r") + F.col("f"))})
+    c = c.withColumns({"p0": F.coalesce(F.try_divide(tp0, tp0 + fp0), F.col("pr")), "b0": F.coalesce(F.try_divide("r0", F.col("r0") + F.col("f0")), F.col("pb"))})
     area = lambda y, y0, x, x0: F.sum((F.col(x) - F.col(x0)) * (F.col(y) + F.col(y0)) / 2)
     return c.groupBy(*keep).agg(area("r", "r0", "f", "f0").alias("roc_auc"), area("pr", "p0", "r", "r0").alias("pr_auc"), area("pb", "b0", "r", "r0").alias("pr_auc_balanced"), F.max(2 * F.col("pb") * F.col("r") / (F.col("pb") + F.col("r"))).alias("f1_balanced"))
 
@@ -149,8 +158,8 @@ def confusion(df: DataFrame, threshold: float, score: str = "score", label: str
 def average_rank(df: DataFrame, score: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ascending rank with ties averaged, from group counts: no row is ranked alone."""
     per = df.groupBy(*keep, score).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keep).orderBy(score)) - F.col("_n")
-    ranks = per.withColumn("avg_rank", before + (F.col("_n") + 1) / 2).drop("_n")
+    run = prefix_sums(per, keep, value_ranges(df, score), [F.asc(score)], {"_c": F.col("_n")})
+    ranks = run.withColumn("avg_rank", F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2).drop("_n", "_c")
     return df.join(ranks, [*keep, score])
 
 
