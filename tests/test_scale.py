@@ -15,6 +15,7 @@ SMALL = [{"locus"}, {"locus", "epitope"}, {"n"}, {"L", "pos"}]
 GROWING = [
     "hamming1_join",
     "sub_events",
+    "hits_expanded",
 ]
 
 
