@@ -16,6 +16,7 @@ GROWING = [
     "hamming1_join",
     "sub_events",
     "hits_expanded",
+    "annotate_left",
 ]
 
 
