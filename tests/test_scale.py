@@ -17,6 +17,7 @@ GROWING = [
     "sub_events",
     "hits_expanded",
     "annotate_left",
+    "evalue_fixed",
 ]
 
 
