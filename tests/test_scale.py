@@ -20,6 +20,7 @@ GROWING = [
     "annotate_left",
     "evalue_fixed",
     "hamming3_join",
+    "sample_summary",
 ]
 
 
