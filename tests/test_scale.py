@@ -21,6 +21,7 @@ GROWING = [
     "evalue_fixed",
     "hamming3_join",
     "sample_summary",
+    "overlap_metrics",
 ]
 
 
