@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..ship import apart
 from .fuzzy import fuzzy_join
 from .ranks import prefix_sums, value_ranges
 
@@ -68,7 +69,7 @@ def position_significance(records: DataFrame, prior: float = 1.0) -> DataFrame:
     """Per length and place: one-substitution neighbours that keep the epitope, shrunk towards the overall share."""
     sets = records.groupBy("gene", "cdr3").agg(F.collect_set("epitope").alias("e"))
     near = fuzzy_join(records, records, "1", ["gene"]).where("cost = 1 and a < b")
-    both = near.join(sets.select("gene", F.col("cdr3").alias("a"), F.col("e").alias("ea")), ["gene", "a"]).join(sets.select("gene", F.col("cdr3").alias("b"), F.col("e").alias("eb")), ["gene", "b"])
+    both = near.join(sets.select("gene", F.col("cdr3").alias("a"), F.col("e").alias("ea")), ["gene", "a"]).join(apart(sets.select("gene", F.col("cdr3").alias("b"), F.col("e").alias("eb"))), ["gene", "b"])
     at = F.get(C.mismatches(F.col("a"), F.col("b")), F.lit(0))
     per = both.groupBy(F.length("a").alias("L"), at.alias("pos")).agg(F.count("*").alias("n"), F.sum(F.arrays_overlap("ea", "eb").cast("int")).alias("same"))
     total = per.agg((F.sum("same") / F.sum("n")).alias("share"))

@@ -22,6 +22,7 @@ GROWING = [
     "hamming3_join",
     "sample_summary",
     "overlap_metrics",
+    "position_significance",
 ]
 
 
