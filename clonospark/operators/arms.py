@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..ship import apart
 from .analytics import one_per_sequence
 from .evalue import FIRST_HIT, first_hit
 from .fuzzy import Budget, fuzzy_join
@@ -99,7 +100,7 @@ def shrunk_rates(bins: DataFrame, keep: Sequence[str], same: str = "same", total
 def offset_significance(records: DataFrame, farthest: int = 8) -> DataFrame:
     """Per gene, end and offset of a single substitution from that end (``farthest`` and more are one): neighbours, those that share an epitope, their shrunk share."""
     ea, eb = _labels(records)
-    near = fuzzy_join(records, records, "1", ["gene"]).where("cost = 1").join(ea, ["gene", "a"]).join(eb, ["gene", "b"])
+    near = fuzzy_join(records, records, "1", ["gene"]).where("cost = 1").join(ea, ["gene", "a"]).join(apart(eb), ["gene", "b"])
     at = near.withColumn("pos", F.get(C.mismatches(F.col("a"), F.col("b")), F.lit(0)))
     ends = F.array(F.struct(F.lit("V").alias("side"), F.col("pos").alias("offset")), F.struct(F.lit("J").alias("side"), (F.length("a") - 1 - F.col("pos")).alias("offset")))
     both = at.select("gene", F.arrays_overlap("ea", "eb").alias("hit"), F.inline(ends)).withColumn("offset", F.least(F.col("offset"), F.lit(farthest)))

@@ -23,6 +23,7 @@ GROWING = [
     "sample_summary",
     "overlap_metrics",
     "position_significance",
+    "offset_significance",
 ]
 
 
