@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..functions import matrices
 from ..operators import annotate, evalue, mass, precursor, studies
 from ..operators.fuzzy import fuzzy_join
+from ..ship import apart
 from ..sources import readers
 from . import analytics, arms, holdout  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES, Tables, query
@@ -121,7 +122,7 @@ def lev3_join(t):
 def hamming1_match_v(t):
     q, r = t.qry.withColumn("fam", C.gene_family(F.col("v"))), _targets(t).withColumn("fam", C.gene_family(F.col("v")))
     near = fuzzy_join(q, r, "1", ["locus", "fam"])
-    return near.join(q.select("locus", "fam", F.col("cdr3").alias("a"), "q_id"), ["locus", "fam", "a"]).join(r.select("locus", "fam", F.col("cdr3").alias("b"), "rec_id"), ["locus", "fam", "b"]).select("q_id", "rec_id", "n_subs")
+    return near.join(q.select("locus", "fam", F.col("cdr3").alias("a"), "q_id"), ["locus", "fam", "a"]).join(apart(r.select("locus", "fam", F.col("cdr3").alias("b"), "rec_id")), ["locus", "fam", "b"]).select("q_id", "rec_id", "n_subs")
 
 
 HITS = f"select q.cdr3 as query_cdr3, q.v as query_v, q.count, r.cdr3 as db_cdr3, r.v as db_v, epitope, mhc_class, antigen_species, vdjdb_score, complex_id, gene, cast(hamming(q.cdr3, r.cdr3) as int) as n_subs from qry q join rec r on locus = gene and {NEAR.format(a='q.cdr3', b='r.cdr3', k=1)}"

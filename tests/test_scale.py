@@ -24,6 +24,7 @@ GROWING = [
     "overlap_metrics",
     "position_significance",
     "offset_significance",
+    "hamming1_match_v",
 ]
 
 
