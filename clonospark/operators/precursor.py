@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..ship import ship
+from ..ship import apart, ship
 from . import mass
 
 
@@ -23,7 +23,7 @@ def event_ratio(ev: DataFrame, cognate: DataFrame, radius: int = 1, label: str =
     key = F.struct("donor", "v", "j", "junction_nt")
     near = mass.ball(cognate, radius, keep=(label,)).select(label, F.col("member").alias("junction_aa")).distinct()
     total = ev.agg(F.countDistinct(key).alias("n_total"))
-    hit = ev.join(near, "junction_aa").withColumn("k", key)
+    hit = ev.join(apart(near), "junction_aa").withColumn("k", key)
     out = hit.groupBy(label).agg(F.countDistinct("k").alias("n_events")).unionByName(hit.agg(F.countDistinct("k").alias("n_events")).withColumn(label, F.lit(None).cast("string")))
     return out.join(F.broadcast(total), F.lit(True)).withColumn("ratio", F.col("n_events") / F.col("n_total"))
 

@@ -25,6 +25,7 @@ GROWING = [
     "position_significance",
     "offset_significance",
     "hamming1_match_v",
+    "event_ratio",
 ]
 
 
