@@ -66,7 +66,7 @@ def first_hit_scores(queries: DataFrame, records: DataFrame, control: DataFrame,
     m = control.groupBy("locus").agg(F.countDistinct("cdr3").alias("M"))
     hit = first_hit(queries, held, control, scope, per_epitope=True).where("radius is not null").select("locus", "query_cdr3", "epitope", "n_target", "n_control")
     grid = queries.select("locus", F.col("cdr3").alias("query_cdr3")).where("cdr3 is not null").distinct().select("*", F.explode(F.array(*[F.lit(e) for e in epitopes])).alias("epitope"))
-    out = grid.join(hit, ["locus", "query_cdr3", "epitope"], "left").join(sizes, ["locus", "epitope"], "left").join(F.broadcast(m), "locus", "left")
+    out = grid.join(apart(hit), ["locus", "query_cdr3", "epitope"], "left").join(sizes, ["locus", "epitope"], "left").join(F.broadcast(m), "locus", "left")
     p = C.poisson_sf(F.col("n_target"), F.greatest(F.col("n_control"), F.lit(3)) * F.col("N_e") / F.col("M"))
     return out.select("locus", "query_cdr3", "epitope", F.when(F.col("n_target") > 0, -F.log10(F.greatest(p, F.lit(1e-300)))).otherwise(0.0).alias("score"))
 

@@ -28,6 +28,7 @@ GROWING = [
     "event_ratio",
     "evalue_first_hit_indels",
     "paired_joint",
+    "first_hit_scores",
 ]
 
 
