@@ -29,6 +29,7 @@ GROWING = [
     "evalue_first_hit_indels",
     "paired_joint",
     "first_hit_scores",
+    "evalue_first_hit",
 ]
 
 
