@@ -30,6 +30,7 @@ GROWING = [
     "paired_joint",
     "first_hit_scores",
     "evalue_first_hit",
+    "annotate_paired",
 ]
 
 
