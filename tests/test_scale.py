@@ -31,6 +31,7 @@ GROWING = [
     "first_hit_scores",
     "evalue_first_hit",
     "annotate_paired",
+    "best_call",
 ]
 
 
