@@ -32,6 +32,7 @@ GROWING = [
     "evalue_first_hit",
     "annotate_paired",
     "best_call",
+    "epitope_summary",
 ]
 
 
