@@ -33,6 +33,7 @@ GROWING = [
     "annotate_paired",
     "best_call",
     "epitope_summary",
+    "held_out_log_odds",
 ]
 
 
