@@ -34,6 +34,7 @@ GROWING = [
     "best_call",
     "epitope_summary",
     "held_out_log_odds",
+    "logodds_matrix",
 ]
 
 
