@@ -35,6 +35,7 @@ GROWING = [
     "epitope_summary",
     "held_out_log_odds",
     "logodds_matrix",
+    "lev_join",
 ]
 
 
