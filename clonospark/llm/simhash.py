@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,17 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     ends = np.cumsum(lens + 1) - 1
     k = min(words, len(parts))
     starts, ends = (ends - lens)[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()
-    h, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 15):
-        got = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)], strict=True)), np.uint64)
+    h = xxhash.xxh64_intdigest
+    return of_hashes(np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)], strict=True)), np.uint64) for at in range(0, len(starts), 1 << 15))
+
+
+def of_hashes(chunks: Iterable[np.ndarray]) -> int:
+    """Signed fingerprint of 64-bit hashes, 0 without any: a bit is set if it is set in more than half of them."""
+    ones, n = np.zeros(64, np.int64), 0
+    for got in chunks:
         ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8")[0])
+        n += len(got)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -146,6 +153,82 @@ def links(fps: DataFrame, radius: int = 2, parts: int = 4, tile: int = 2048) ->
     return pairs.select("a", "b", same).mapInArrow(shared.trimmed(run), "a long, b long")
 
 
+#: Bits of a fingerprint that are compared as one band in ``wide_links``.
+BANDS = (11, 11, 11, 11, 10, 10)
+
+
+def wide_links(fps: DataFrame, radius: int = 11) -> DataFrame:
+    """Links (a, b) that connect exactly the distinct fingerprints within ``radius`` bits, for radii at which tiles skip next to nothing.
+
+    Two fingerprints that differ in under twice as many bits as there are bands differ by one bit at most in some band. So each
+    goes to the bucket of each of its bands' values and visits those that a bit more leads to; some 38 places in all, and under a twentieth of all pairs meet. A bucket returns
+    a spanning forest of its links, as many rows as it has fingerprints at most; a bucket is compared in one task.
+    """
+    if not 0 <= radius < 2 * len(BANDS):
+        raise ValueError(f"no radius under {2 * len(BANDS)}: {radius}")
+
+    def deal(batches):
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            at, who, own, low = [], [], [], 0
+            for p, width in enumerate(BANDS):
+                v = ((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                low += width
+                at.append(v + (p << 16))
+                who.append(fp)
+                own.append(np.ones(len(fp), bool))
+                for bit in range(width):
+                    free = (v >> bit) & 1 == 0
+                    at.append((v[free] | 1 << bit) + (p << 16))
+                    who.append(fp[free])
+                    own.append(np.zeros(int(free.sum()), bool))
+            yield from _packed_rows(np.concatenate(at), np.concatenate(who), np.concatenate(own))
+
+    def meet(batches):
+        now, rows = None, []
+        for b in batches:
+            for bucket, raw, visits in zip(*(b.column(c).to_pylist() for c in ("bucket", "own", "visits")), strict=True):
+                if bucket != now and rows:
+                    yield from _forest_rows(rows, radius)
+                    rows = []
+                now = bucket
+                rows.append((raw, visits))
+        if rows:
+            yield from _forest_rows(rows, radius)
+
+    dealt = fps.select("fp").distinct().mapInArrow(shared.trimmed(deal), "bucket int, own binary, visits binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared.trimmed(meet), "a long, b long")
+
+
+def _packed_rows(at: np.ndarray, who: np.ndarray, own: np.ndarray):
+    """A row for each bucket: its own fingerprints and its visitors, eight bytes each."""
+    by = np.lexsort((~own, at))
+    at, who, own = at[by], who[by], own[by]
+    edge = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(edge):
+        cuts = [(x[: k], x[k:]) for x, k in zip(np.split(who, edge[1:]), np.add.reduceat(own.astype(np.int64), edge).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(at[edge].astype(np.int32)), *(pa.array([c[i].tobytes() for c in cuts], pa.binary()) for i in (0, 1))], names=["bucket", "own", "visits"])
+
+
+def _forest_rows(rows: list[tuple[bytes, bytes]], radius: int):
+    own, visits = (np.frombuffer(b"".join(x), np.uint64) for x in zip(*rows, strict=True))
+    if not len(own):
+        return
+    every = np.concatenate([own, visits])
+    root = np.arange(len(every))
+    # a strip leaves a forest, so few pairs are held at a time however alike the fingerprints are
+    strip = max(1, (1 << 20) // len(own))
+    for at in range(0, len(every), strip):
+        part = every[at : at + strip]
+        i, j = _near(own, part, radius)
+        j = j + at
+        if (i != j).any():
+            root = _forest(len(every), np.concatenate([i, np.arange(len(every))]), np.concatenate([j, root]))
+    off = np.flatnonzero(root != np.arange(len(every)))
+    if len(off):
+        yield pa.RecordBatch.from_arrays([pa.array(every[off].view(np.int64)), pa.array(every[root[off]].view(np.int64))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component) of every row: component is the least key reachable over links of ``radius`` bits or fewer.
 
