@@ -110,7 +110,7 @@ def hamming3_join(t):
 
 @query("select locus, a, b from (select distinct locus, cdr3 as a from qry) q join (select distinct gene, cdr3 as b from rec) r on locus = gene and levenshtein(a, b) <= 2")
 def lev_join(t):
-    return fuzzy_join(t.qry, _targets(t), "2,2", ["locus"]).select("locus", "a", "b")
+    return fuzzy_join(t.qry, _targets(t), "2,2", ["locus"], costs=True).select("locus", "a", "b")
 
 
 @query("select locus, a, b, cast(levenshtein(a, b) as int) as cost from (select distinct locus, cdr3 as a from qry) q join (select distinct gene, cdr3 as b from rec) r on locus = gene and levenshtein(a, b) <= 3")
